@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerweave.llm import gam_quality, simhash_dedup, spotsigs
+from ledgerweave.llm import gam_quality, simhash_dedup, spotsigs, url_rules
 
-_MODULES = (gam_quality, simhash_dedup, spotsigs)
+_MODULES = (gam_quality, simhash_dedup, spotsigs, url_rules)
 
 
 def queries() -> dict:
