@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerweave.llm import gam_quality, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules
+from ledgerweave.llm import gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules
 
-_MODULES = (gam_quality, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules)
+_MODULES = (gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules)
 
 
 def queries() -> dict:
