@@ -1,39 +1,7 @@
 import random
 
-import xxhash
-
 from ledgerweave.llm import simhash_dedup as S
-
-WHITE = " \t\n\x0b\x0c\r"
-
-
-def brute_fp(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
-    for c in WHITE:
-        low = low.replace(c, " ")
-    w = [x for x in low.split(" ") if x]
-    if not w:
-        return 0
-    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(fps):
-    """{row index: component} by all pairs."""
-    parent = list(range(len(fps)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 2:
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    return [find(i) for i in range(len(fps))]
-
+from tests_support_llm import brute_components, brute_fp
 
 def test_fingerprint_matches_definition():
     for t in ["", None, "A", "a B", "AbÉ c\td\x0be f", "x " * 50, "  y z q w e"]:
