@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("reconciliation",)
+_MODULES = ("reconciliation", "workflow", "reports", "quality")
 
 
 def query(name: str, sql: str | None = None):
