@@ -78,7 +78,7 @@ def merge_key(code: Column, pct: Column, article: Column, amount: Column, design
     return F.struct(
         F.when(digits, co).otherwise(pct0).alias("pct"),
         F.when(named & (art0 == ""), co).otherwise(art0).alias("article"),
-        F.coalesce(F.format_string("%.4f", amount), F.lit("")).alias("amount"),
+        F.when(amount.isNotNull(), F.format_string("%.4f", amount)).otherwise("").alias("amount"),
         F.left(F.trim(F.coalesce(designation, F.lit(""))), F.lit(120)).alias("designation"),
         F.left(F.trim(F.coalesce(raw, F.lit(""))), F.lit(140)).alias("raw"),
     )

@@ -90,7 +90,7 @@ def bounded_float(c: Column, most: float = 999_999_999.0) -> Column:
 
 def money_text(c: Column) -> Column:
     """M8: up to five decimals, trailing zeros dropped."""
-    return F.regexp_replace(F.format_string("%.5f", c.cast("double")), r"\.?0+$", "")
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%.5f", c.cast("double")), r"\.?0+$", ""))
 
 
 def score_text(c: Column) -> Column:
