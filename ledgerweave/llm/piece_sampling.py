@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 6_000_000
+PART = 1_500_000
 BLANK, LINE = 32, 10
 
 
