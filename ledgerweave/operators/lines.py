@@ -112,7 +112,8 @@ def with_quantity(lines: DataFrame, raw: str = "raw_line", code: str = "code") -
         found("__qf", F.col("__ffast"), "mp_code_prefix", 0.89), found("__qa", F.col("__fa"), "qty_positional_prefix", 0.86), found("__qb", F.col("__rb"), "qty_positional_prefix", 0.86),
         found("__qy", F.col("__fy"), "qty_positional_suffix", 0.88), found("__qz", F.col("__fz"), "qty_positional_suffix", 0.88), none,
     )
-    return out.withColumn("q", q).select(*[F.col(f"`{c}`") for c in lines.columns], "q")
+    # exploding a one-element array keeps later filters above these columns: pushed below, they would repeat every rule
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns], F.explode(F.array(q)).alias("q"))
 
 
 def first_of(lines: DataFrame, doc: str, *key: Column) -> DataFrame:
