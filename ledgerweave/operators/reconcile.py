@@ -120,25 +120,34 @@ def reconcile(lines: DataFrame, dim: DataFrame, settings: Settings | None = None
     ).drop("ref", "codes", "mp_found", "article_found", "__order", "__read", "__qty", "__blank", "__fill")
 
 
+def _substrings(word: Column, least: int) -> Column:
+    """All substrings of a word from ``least`` characters on."""
+    n = F.length(word)
+
+    def at(i: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(word, i, k))
+        return F.when(n - i + 1 >= least, some).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)))
+
+
 def matched_suppliers(invoices: DataFrame, suppliers: DataFrame, strict: bool = False) -> DataFrame:
     """The first supplier (by IDFournisseur) with the same tax id, whose name is inside the read name, or whose
-    name holds a word of it longer than three letters. ``strict`` prefers tax id, then whole name, then word.
+    name holds a word of the read name longer than three letters. ``strict`` prefers tax id, then name, then word.
 
-    The tax id and the words are equality joins; only distinct read names meet supplier names in the substring test,
-    through the supplier name's first word, so no nested-loop join over all pairs is needed.
+    All three tests are equality joins: on the tax id; on the supplier name's first word among the substrings of the
+    read words (then the whole name is looked for); on the read words among the substrings of the supplier's words.
+    Only distinct read names are matched, so no pair of an invoice and a supplier is ever tested in a loop.
     """
     inv = invoices.select("invoice_id", codes.supplier_name(F.col("supplier_name")).alias("n"), codes.upper_trim(F.col("supplier_mf")).alias("mf"))
     sup = suppliers.select("IDFournisseur", codes.supplier_name(F.col("Nom")).alias("nom"), codes.upper_trim(F.col("MF")).alias("smf"))
-    words = sup.where("nom <> ''").select("IDFournisseur", "nom", F.explode(F.array_distinct(F.split("nom", " "))).alias("w"))
     by_mf = inv.where("mf <> ''").join(sup.where("smf <> ''"), F.col("mf") == F.col("smf")).select("invoice_id", "IDFournisseur", F.lit(0).alias("kind"))
-    names = inv.where("n <> ''").select("n").distinct()
-    read = names.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    # a supplier name inside the read name shares its longest inner word or is inside a single word
-    inside = read.join(words, "w").where(F.contains(F.col("n"), F.col("nom"))).select("n", "IDFournisseur", F.lit(1).alias("kind"))
-    within = read.where("length(w) > 3").join(words.withColumnRenamed("w", "sw"), F.contains(F.col("sw"), F.col("w"))) if strict else None
-    token = read.where("length(w) > 3").join(words, "w").select("n", "IDFournisseur", F.lit(2).alias("kind"))
-    if within is not None:
-        token = token.unionAll(within.select("n", "IDFournisseur", F.lit(2).alias("kind")))
+    read = inv.where("n <> ''").select("n").distinct().select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    named = sup.where("nom <> ''")
+    starts = read.select("n", F.explode(_substrings(F.col("w"), 1)).alias("w")).distinct()
+    inside = starts.join(named.withColumn("w", F.split("nom", " ")[0]), "w").where(F.contains(F.col("n"), F.col("nom"))).select("n", "IDFournisseur", F.lit(1).alias("kind"))
+    parts = named.select("IDFournisseur", F.explode(F.split("nom", " ")).alias("x")).select("IDFournisseur", F.explode(_substrings(F.col("x"), 4)).alias("w")).distinct()
+    token = read.where("length(w) > 3").join(parts, "w").select("n", "IDFournisseur", F.lit(2).alias("kind"))
     by_name = inv.join(inside.unionAll(token).distinct(), "n").select("invoice_id", "IDFournisseur", "kind")
     rank = F.struct("kind", "IDFournisseur") if strict else F.struct("IDFournisseur", "kind")
     best = by_mf.unionAll(by_name).groupBy("invoice_id").agg(F.min_by("IDFournisseur", rank).alias("IDFournisseur"))
