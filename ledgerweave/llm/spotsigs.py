@@ -101,7 +101,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): ascending doc_id, the first following the last."""
-    n = partitions_of(docs.sparkSession)
+    # more ranges than tasks, so that tasks come out even
+    n = 4 * partitions_of(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = base.where("doc_id is not null")
     cuts = placed.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
