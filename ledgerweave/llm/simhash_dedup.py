@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.common import connected_components, freeze
+from ledgerweave.llm.common import connected_components, freeze, partitions_of
 
 HALF = (1 << 32) - 1
 
@@ -69,7 +69,9 @@ def neighbours(fp: Column) -> Column:
 
 def links(fps: DataFrame, crowd: int = 8) -> DataFrame:
     """Edges (a, b) between the distinct values of ``fps(fp)`` whose components are those of all links."""
-    variants = fps.select("fp", F.explode(deletion_keys(F.col("fp"))).alias("key"))
+    # a fingerprint gives 64 keys: the small table is dealt out before it grows
+    spread = fps.repartition(partitions_of(fps.sparkSession), "fp")
+    variants = spread.select("fp", F.explode(deletion_keys(F.col("fp"))).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = freeze(variants.join(shared.hint("merge"), "key"), "simhash-members")
     small = members.where(F.col("n") <= crowd).select("key", F.col("fp").alias("a"))
