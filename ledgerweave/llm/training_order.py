@@ -1,7 +1,8 @@
 """Training-order materialisation of token sequences (operator 2).
 
-Token ids are UTF-8 bytes, one byte each; 0xFF (never in UTF-8) ends a document and 0xFE pads. A document is cut into
-sequences of ``TOKENS`` ids. All sequences are numbered in input order (counts of each input partition, then the place
+Token ids are UTF-8 bytes, one byte each; 0xFF (never in UTF-8) ends a document and 0xFE pads. The documents of an input
+partition are packed end to end into sequences of ``TOKENS`` ids; only a partition's last one is padded. All sequences
+are numbered in input order (counts of each input partition, then the place
 in it), and a keyed Feistel permutation with cycle-walking gives each number a global slot: a pseudo-random order that
 needs no sort by a random key and can be recomputed or inverted for any single sequence.
 
@@ -10,10 +11,10 @@ sorted by slot and written by Spark's committed text writer, whose line separato
 have the same stride and the record of a slot starts at ``slot % per_shard * STRIDE`` of shard ``slot // per_shard``:
 reading is sequential and resumes at any slot. A lost task is rewritten whole; the layout is written last.
 
-Record: doc_id (8 bytes, big-endian), sequence number (4), number of ids (2, top bit: no doc_id), ids, separator.
+Record: doc_id of the document its first id belongs to (8 bytes, big-endian), that id's place in the document (4),
+number of ids (2, top bit: no doc_id), ids, separator.
 
-Defined results: null text is empty; an empty text is one sequence that holds the end mark; repeated rows are
-sequences of their own; extra columns are not read; an empty table gives no shards. The numbering is fixed by the
+Defined results: null text is empty; an empty text is its end mark; repeated rows are documents of their own; extra columns are not read; an empty table gives no shards. The numbering is fixed by the
 input files and the split size, so reruns and retried tasks agree.
 """
 
@@ -22,26 +23,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerweave.llm.common import scratch_path
 
-STRIDE, HEAD = 320, 14
+STRIDE, HEAD = 2048, 14
 TOKENS = STRIDE - HEAD - 1
 PAD, STOP = b"\xfe", b"\xff"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _round_keys(key: int, rounds: int) -> np.ndarray:
-    return _mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % (1 << 64)))
+ROUNDS, WALKS = 6, 96
 
 
 def _widths(n: int) -> tuple[int, int]:
@@ -49,61 +42,68 @@ def _widths(n: int) -> tuple[int, int]:
     return bits - bits // 2, bits // 2
 
 
-def _feistel(x: np.ndarray, n: int, key: int, back: bool = False, rounds: int = 6) -> np.ndarray:
-    """One pass over the next power of two; halves of unequal width swap places each round (rounds is even)."""
-    keys, (a, b) = _round_keys(key, rounds), _widths(n)
-    left, right = x >> np.uint64(b), x & np.uint64((1 << b) - 1)
-    wide, narrow = a, b
-    for k in keys[::-1] if back else keys:
-        if back:  # left, right came from right', left' ^ f(right')
-            left, right = right ^ (_mix(left + k) & np.uint64((1 << narrow) - 1)), left
-        else:
-            left, right = right, left ^ (_mix(right + k) & np.uint64((1 << wide) - 1))
-        wide, narrow = narrow, wide
-    return (left << np.uint64(b)) | right
-
-
-def permute(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
-    """Slots of 0 <= index < n: the Feistel pass is repeated until the value falls below n. ``back`` inverts it."""
-    with np.errstate(over="ignore"):
-        y = _feistel(index.astype(np.uint64), n, key, back)
-        out = np.flatnonzero(y >= n)
-        while len(out):
-            y[out] = _feistel(y[out], n, key, back)
-            out = out[y[out] >= n]
-    return y.astype(np.int64)
-
-
-def _slots(n: int, key: int):
-    @F.pandas_udf(T.LongType())
-    def slot(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for index in batches:
-            yield pd.Series(permute(index.to_numpy(), n, key))
-
-    return slot
-
-
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids, seq_no, number) with number = input partition << 33 | place in it."""
-    rows = docs.select("doc_id", F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(STOP)).alias("ids"))
-    rows = rows.withColumn("seq_no", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / TOKENS).cast("int"))))
+def _pass(x: Column, n: int, key: int) -> Column:
+    """One Feistel pass over the next power of two; halves of unequal width swap places in each of six rounds."""
+    wide, narrow = _widths(n)
+    half = F.struct(F.shiftrightunsigned(x, narrow).alias("l"), x.bitwiseAND(F.lit((1 << narrow) - 1)).alias("r"))
+    rounds = F.array(*[F.struct(F.lit(key + k).cast("long").alias("k"), F.lit((1 << (narrow if k % 2 else wide)) - 1).cast("long").alias("m")) for k in range(ROUNDS)])
+    step = F.aggregate(rounds, half, lambda h, q: F.struct(h["r"].alias("l"), h["l"].bitwiseXOR(F.xxhash64(q["k"], h["r"]).bitwiseAND(q["m"])).alias("r")))
+    return F.transform(F.array(step), lambda h: F.shiftleft(h["l"], narrow).bitwiseOR(h["r"]))[0]
+
+
+def slot_of(index: Column, n: int, key: int) -> Column:
+    """Slot of 0 <= index < n: passes are repeated until the value falls below n (under two on average; the chance
+    that ``WALKS`` do not suffice is below 2**-96, and is an error)."""
+    walked = F.aggregate(F.array(*[F.lit(0)] * WALKS), _pass(index, n, key), lambda y, _: F.when(y < n, y).otherwise(_pass(y, n, key)))
+    return F.transform(F.array(walked), lambda y: F.when(y < n, y).otherwise(F.raise_error(F.lit("cycle-walking did not end")).cast("long")))[0]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents end to end to records of ``TOKENS`` ids; only a partition's last record is padded.
+
+    A batch is held with what the one before left over, so memory is that of an Arrow batch.
+    """
+    rest, ids, starts = b"", [], np.zeros(0, dtype=np.int64)  # bytes left, and the documents in them
+
+    def records(data: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        k = len(counts)
+        doc = np.searchsorted(starts, np.arange(k) * TOKENS, side="right") - 1
+        out = np.empty((k, HEAD + TOKENS), dtype=np.uint8)
+        known = np.array([ids[d] is not None for d in doc], dtype=bool)
+        out[:, 0:8] = np.array([ids[d] or 0 for d in doc], dtype=">i8").view(np.uint8).reshape(k, 8)
+        out[:, 8:12] = (np.arange(k) * TOKENS - starts[doc]).astype(">i4").view(np.uint8).reshape(k, 4)
+        out[:, 12:14] = (counts + np.where(known, 0, 1 << 15)).astype(">u2").view(np.uint8).reshape(k, 2)
+        out[:, HEAD:] = data.reshape(k, TOKENS)
+        ends = np.arange(k + 1, dtype=np.int32) * (HEAD + TOKENS)
+        return pa.record_batch([pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(out.reshape(-1))])], names=["record"])
+
+    for batch in batches:
+        texts = [(t or b"") + STOP for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.concatenate([starts, len(rest) + np.cumsum(sizes) - sizes])
+        ids += batch.column("doc_id").to_pylist()
+        data = rest + b"".join(texts)
+        k = len(data) // TOKENS
+        if k:
+            yield records(np.frombuffer(data, dtype=np.uint8, count=k * TOKENS), np.full(k, TOKENS))
+        rest = data[k * TOKENS :]
+        first = max(0, int(np.searchsorted(starts, k * TOKENS, side="right")) - 1)
+        ids, starts = ids[first:], starts[first:] - k * TOKENS
+    if rest:
+        yield records(np.frombuffer(rest.ljust(TOKENS, PAD), dtype=np.uint8), np.array([len(rest)]))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(record, number) with number = input partition << 33 | place in it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "record binary")
     return rows.withColumn("number", F.monotonically_increasing_id())
 
 
-def _record(count: Column) -> Column:
-    ids = F.rpad(F.substring("ids", F.col("seq_no") * TOKENS + 1, F.lit(TOKENS)), TOKENS, PAD)
-
-    def big_endian(value: Column, width: int) -> Column:
-        return F.unhex(F.lpad(F.hex(value), 2 * width, "0"))
-
-    flagged = count + F.when(F.col("doc_id").isNull(), 1 << 15).otherwise(0)
-    return F.concat(big_endian(F.coalesce("doc_id", F.lit(0).cast("long")), 8), big_endian(F.col("seq_no").cast("long"), 4), big_endian(flagged.cast("long"), 2), ids)
-
-
 def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 32 << 20) -> dict:
     """Writes ``docs(doc_id, text)`` in training order under ``path``; returns the layout, also kept in ``path-layout``."""
     spark = docs.sparkSession
-    counted = sequences(docs).groupBy(F.shiftright("number", 33).cast("int").alias("pid")).agg(F.count("*").alias("n")).collect()  # one row for each input partition
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    counted = docs.groupBy(F.spark_partition_id().alias("pid")).agg(F.ceil(F.sum(size) / TOKENS).alias("n")).collect()  # one row for each input partition
     sizes = np.zeros(max((r.pid for r in counted), default=-1) + 1, dtype=np.int64)
     for r in counted:
         sizes[r.pid] = r.n
@@ -112,39 +112,43 @@ def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 3
     per = max(1, -(-n // shards))
     layout = {"path": path, "n": n, "per_shard": per, "stride": STRIDE, "key": key}
     ahead = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum(sizes) - sizes])
-    rows = sequences(docs).withColumn("index", F.get(ahead, F.shiftright("number", 33).cast("int")) + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
-    count = F.least(F.octet_length("ids") - F.col("seq_no") * TOKENS, F.lit(TOKENS))
-    rows = rows.select("index", _record(count).alias("record")) if n else rows.select(F.lit(0).cast("long").alias("index"), F.lit(b"").alias("record"))
-    rows = rows.select(_slots(max(n, 1), key)("index").alias("slot"), "record")
+    rows = packed(docs).withColumn("index", F.get(ahead, F.shiftright("number", 33).cast("int")) + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), "record")
     placed = rows.repartitionById(max(1, -(-n // per)), (F.col("slot") / per).cast("int")).sortWithinPartitions("slot")
     placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
     spark.createDataFrame([tuple(layout.values())], "path string, n long, per_shard long, stride int, key long").coalesce(1).write.json(f"{path}-layout")
     return layout
 
 
+def _split_shards(per: int, stride: int):
+    """Arrow function: whole shards to records, a slice of at most 64k records at a time."""
+    names = ["slot", "shard", "offset", "doc_id", "doc_offset", "n_tokens", "tokens"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                rows = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, stride)
+                for at in range(0, len(rows), 1 << 16):
+                    r = rows[at : at + (1 << 16)]
+                    place = np.arange(at, at + len(r), dtype=np.int64)
+                    doc, seq, count = (np.ascontiguousarray(r[:, a:b]).view(t)[:, 0] for a, b, t in ((0, 8, ">i8"), (8, 12, ">i4"), (12, 14, ">u2")))
+                    n = (count & 0x7FFF).astype(np.int32)
+                    tokens = pa.array([x[:k] for x, k in zip(np.ascontiguousarray(r[:, HEAD : HEAD + TOKENS]).view(f"V{TOKENS}")[:, 0].tolist(), n.tolist(), strict=True)], pa.binary())
+                    doc_ids = pa.array(doc.astype(np.int64), mask=count >= 0x8000)
+                    numbers = (place + shard * per, np.full(len(r), shard, dtype=np.int64), place * stride)
+                    yield pa.record_batch([*map(pa.array, numbers), doc_ids, pa.array(seq.astype(np.int32)), pa.array(n), tokens], names=names)
+
+    return split
+
+
 def read_shards(spark: SparkSession, layout: dict, first: int = 0) -> DataFrame:
-    """Records from slot ``first`` on: slot, shard, offset, doc_id, seq_no, n_tokens, tokens (bytes). Earlier shards
+    """Records from slot ``first`` on: slot, shard, offset, doc_id, doc_offset, n_tokens, tokens (bytes). Earlier shards
     are not opened."""
     per, stride = layout["per_shard"], layout["stride"]
     files = spark.read.format("binaryFile").load(layout["path"])
     shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1)
-    files = files.where(F.regexp_like("path", F.lit(r"part-\d+[^/]*$"))).withColumn("shard", shard.cast("long")).where(F.col("shard") >= first // per)
-    at = F.explode(F.transform(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1), lambda i: F.struct(i.cast("long").alias("place"), F.substring(F.col("content"), i * stride + 1, F.lit(stride)).alias("r"))))
-    rows = files.where(F.length("content") > 0).select("shard", at.alias("a")).select("shard", "a.place", "a.r")
-
-    def number(start: int, width: int) -> Column:
-        # 64-bit values may have the top bit set, so they are read as two halves
-        def part(s: int, w: int) -> Column:
-            return F.conv(F.hex(F.substring("r", s + 1, w)), 16, 10).cast("long")
-
-        return part(start, width) if width < 8 else F.shiftleft(part(start, 4), 32).bitwiseOR(part(start + 4, 4))
-
-    flagged = number(12, 2)
-    rows = rows.select(
-        (F.col("shard") * per + F.col("place")).alias("slot"), "shard", (F.col("place") * stride).alias("offset"), F.when(flagged < 1 << 15, number(0, 8)).alias("doc_id"),
-        number(8, 4).cast("int").alias("seq_no"), flagged.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("n_tokens"), "r",
-    )
-    rows = rows.withColumn("tokens", F.substring("r", F.lit(HEAD + 1), F.col("n_tokens"))).drop("r")
+    files = files.where(F.regexp_like("path", F.lit(r"part-\d+[^/]*$")) & (F.col("length") > 0)).withColumn("shard", shard.cast("long")).where(F.col("shard") >= first // per)
+    rows = files.select("shard", "content").mapInArrow(_split_shards(per, stride), "slot long, shard long, offset long, doc_id long, doc_offset int, n_tokens int, tokens binary")
     return rows.where(F.col("slot") >= first)
 
 

@@ -1,37 +1,60 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from ledgerweave.llm import training_order as O
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000, 4097])
-def test_permutation_is_a_keyed_bijection(n):
-    i = np.arange(n)
-    a = O.permute(i, n, 31)
+def brute_slot(i, n, key):
+    """The permutation by hand: XXH64 of 8-byte integers, seeded by the hash of the round key."""
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    while True:
+        left, right, widths = i >> low, i & ((1 << low) - 1), (bits - low, low)
+        for k in range(6):
+            f = xxhash.xxh64_intdigest(struct.pack("<q", right), xxhash.xxh64_intdigest(struct.pack("<q", key + k), 42))
+            left, right = right, left ^ (f & ((1 << widths[k % 2]) - 1))
+        i = left << low | right
+        if i < n:
+            return i
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 65, 4097])
+def test_permutation_is_a_keyed_bijection(spark, n):
+    def slots(key):
+        return np.array([r[0] for r in spark.range(n).select(O.slot_of(F.col("id"), n, key)).collect()])
+
+    a = slots(31)
     assert sorted(a) == list(range(n))
-    assert (O.permute(a, n, 31, back=True) == i).all()
+    assert list(a) == [brute_slot(i, n, 31) for i in range(n)]
     if n > 60:  # small domains scatter widely
-        assert (a != O.permute(i, n, 32)).mean() > 0.9
-        assert abs(np.corrcoef(i, a)[0, 1]) < 4 / n**0.5
+        assert (a != slots(32)).mean() > 0.9
+        assert abs(np.corrcoef(np.arange(n), a)[0, 1]) < 4 / n**0.5
 
 
 def test_shards_round_trip_and_resume(spark, tmp_path):
     rows = [(i, "é\nword " * (i * 13 % 200)) for i in range(120)] + [(5, None), (5, ""), (None, "no id"), (-7, "negative"), (2**62, "x" * 100_000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, slot int").repartition(5, "doc_id")
-    path = str(tmp_path / "s")
-    layout = O.write_shards(df, path, shard_bytes=40_000)
+    parts = [[(r.doc_id, r.text) for r in p] for p in df.rdd.glom().collect()]
+    layout = O.write_shards(df, str(tmp_path / "s"), shard_bytes=40_000)
     sizes = [f.stat().st_size for f in sorted((tmp_path / "s").glob("part-*"))]
     assert all(s == layout["per_shard"] * O.STRIDE for s in sizes[:-1]) and sum(sizes) == layout["n"] * O.STRIDE
     got = sorted(O.read_shards(spark, layout).collect(), key=lambda r: r.slot)
     assert [r.slot for r in got] == list(range(layout["n"]))
-    texts = {}
-    for r in sorted(got, key=lambda r: r.seq_no):
-        assert r.offset == r.slot % layout["per_shard"] * O.STRIDE and r.shard == r.slot // layout["per_shard"]
-        if r.doc_id != 5:
-            texts[r.doc_id] = texts.get(r.doc_id, b"") + bytes(r.tokens)
-    assert {k: v[:-1].decode() for k, v in texts.items()} == {k: t or "" for k, t in rows if k != 5}
-    assert all(v.endswith(O.STOP) for v in texts.values())
-    assert sum(r.doc_id == 5 for r in got) == 2 + -(-(len(("é\nword " * 65).encode()) + 1) // O.TOKENS)
+    assert all(r.offset == r.slot % layout["per_shard"] * O.STRIDE and r.shard == r.slot // layout["per_shard"] for r in got)
+    at = 0  # number of the partition's first sequence
+    for part in parts:
+        stream = b"".join((t or "").encode() + O.STOP for _, t in part)
+        owners = [(i, k) for i, t in part for k in range(len((t or "").encode()) + 1)]
+        for k in range(0, len(stream), O.TOKENS):
+            r = got[brute_slot(at, layout["n"], layout["key"])]
+            assert bytes(r.tokens) == stream[k : k + O.TOKENS] and r.n_tokens == len(r.tokens)
+            assert (r.doc_id, r.doc_offset) == owners[k]
+            at += 1
+    assert at == layout["n"]
     late = O.read_shards(spark, layout, first=layout["n"] - 9).collect()
     assert sorted(r.slot for r in late) == list(range(layout["n"] - 9, layout["n"]))
     again = O.write_shards(df, str(tmp_path / "t"), shard_bytes=40_000)
