@@ -98,9 +98,12 @@ def resolve(records: DataFrame) -> DataFrame:
     used = used.join(need.hint("merge"), "sid", "left_semi")
     used = used.groupBy("sid").agg(F.max_by(F.struct("stored", "body"), F.struct(F.length("body"), "body")).alias("s")) if _repeats(used) else used.select("sid", F.struct("stored", "body").alias("s"))
     out = pairs.join(answers.hint("merge"), F.col("record_id") == F.col("aid"), "left")
-    out = out.withColumn("sid", F.when(F.col("resolved"), F.col("response_id"))).join(used.hint("merge"), "sid", "left")
-    headers = F.when(F.col("resolved"), merged_headers(F.col("s.stored"), F.col("answer"))).otherwise(_lower_keys(F.col("answer")))
-    return out.select("record_id", "canonical", "ts", "response_id", "outcome", "resolved", headers.alias("headers"), F.col("s.body").alias("body"))
+    names = ["record_id", "canonical", "ts", "response_id", "outcome", "resolved"]
+    # only resolved revisits meet stored bodies: the others would all share one null key
+    whole = out.where("resolved").join(used.hint("merge"), F.col("response_id") == F.col("sid"), "left")
+    whole = whole.select(*names, merged_headers(F.col("s.stored"), F.col("answer")).alias("headers"), F.col("s.body").alias("body"))
+    bare = out.where("not resolved").select(*names, _lower_keys(F.col("answer")).alias("headers"), F.lit(None).cast(whole.schema["body"].dataType).alias("body"))
+    return whole.unionByName(bare)
 
 
 def _repeats(used: DataFrame) -> bool:
