@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerweave.llm.common import connected_components, freeze, partitions_of
+from ledgerweave.llm.jaccard_links import near_copies
 
 HALF = (1 << 32) - 1
 
@@ -101,11 +102,13 @@ def op4_simhash_deletion_variants(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays, the one with the smallest doc_id.
+    """Pipeline stage: one document of each group of near copies stays (``jaccard_links``: five-word shingles, 0.8),
+    the one with the smallest doc_id.
 
     Rows without doc_id stay only where their whole group has none. Repeats of a kept doc_id are dropped but for one.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    of = near_copies(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), ["doc_id"])
+    kept = of.groupBy("root").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
     out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
