@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,13 +102,15 @@ def op4_simhash_deletion_variants(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays (``jaccard_links``: five-word shingles, 0.8),
-    the one with the smallest doc_id.
+    """Pipeline stage: one document of each group of near copies stays (``jaccard_links``: five-word shingles, 0.8).
 
-    Rows without doc_id stay only where their whole group has none. Repeats of a kept doc_id are dropped but for one.
+    Of a group stays the row with the smallest doc_id, null only where the whole group has none; then a null text and
+    the hash of the text decide, and for equal rows the hash of all columns. Groups with the same or no doc_id are apart.
     """
-    of = near_copies(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), ["doc_id"])
-    kept = of.groupBy("root").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
-    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    marked = docs.withColumn("__row", row)
+    of = near_copies(marked.select("doc_id", F.col("__row").alias("row"), "text"), ["doc_id"])
+    kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = marked.join(kept.hint("merge"), "__row", "left_semi").groupBy("__row").agg(F.min_by(whole, F.xxhash64(whole)).alias("__best"))
+    return out.select("__best.*")

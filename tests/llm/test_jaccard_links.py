@@ -55,3 +55,14 @@ def test_stage_on_the_smallest_documents(spark):
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     comp = brute_groups([r.text for r in rows])
     assert {r.doc_id for r in S.keep_one(spark, docs, "").collect()} == {rows[c].doc_id for c in comp}
+
+
+def test_survivors_of_null_and_repeated_ids(spark):
+    text = [" ".join(f"{g}{i}" for i in range(40)) for g in "abcdef"]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (3, text[2]), (2, text[3]), (5, text[3]), (5, text[4]), (None, text[5]), (None, text[5] + " end")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in S.keep_one(spark, df, "").collect()]
+    sure = {(None, text[0]), (None, text[1]), (3, text[2]), (2, text[3]), (5, text[4])}
+    assert len(kept) == 6 and sure < set(kept)
+    assert (set(kept) - sure).pop() in {(None, text[5]), (None, text[5] + " end")}
+    assert S.keep_one(spark, df, "").columns == df.columns and S.keep_one(spark, df.limit(0), "").count() == 0
