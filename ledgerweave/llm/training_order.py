@@ -12,7 +12,8 @@ have the same stride and the record of a slot starts at ``slot % per_shard * STR
 reading is sequential and resumes at any slot. A lost task is rewritten whole; the layout is written last.
 
 Record: doc_id of the document its first id belongs to (8 bytes, big-endian), that id's place in the document (4),
-number of ids (2, top bit: no doc_id), ids, separator.
+number of ids (2, top bit: no doc_id), ids, separator. ``path-docs`` holds all documents of each record, as (doc_id,
+start) by slot; it is kept beside the shards because thousands of short documents can meet in one record.
 
 Defined results: null text is empty; an empty text is its end mark; repeated rows are documents of their own; extra columns are not read; an empty table gives no shards. The numbering is fixed by the
 input files and the split size, so reruns and retried tasks agree.
@@ -99,6 +100,20 @@ def packed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("number", F.monotonically_increasing_id())
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, doc_id, start) for every record of the partition and document with ids in it."""
+    at = 0
+    for batch in batches:
+        sizes = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = at + np.cumsum(sizes) - sizes
+        at += int(sizes.sum())
+        first = begin // TOKENS
+        n = (begin + sizes - 1) // TOKENS - first + 1
+        row = np.repeat(np.arange(len(n)), n)
+        place = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.record_batch([pa.array(place), batch.column("doc_id").take(pa.array(row)), pa.array(begin[row] - place * TOKENS)], names=["place", "doc_id", "start"])
+
+
 def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 32 << 20) -> dict:
     """Writes ``docs(doc_id, text)`` in training order under ``path``; returns the layout, also kept in ``path-layout``."""
     spark = docs.sparkSession
@@ -113,6 +128,11 @@ def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 3
     layout = {"path": path, "n": n, "per_shard": per, "stride": STRIDE, "key": key}
     ahead = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum(sizes) - sizes])
     rows = packed(docs).withColumn("index", F.get(ahead, F.shiftright("number", 33).cast("int")) + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
+    within = sized.mapInArrow(_places, "place long, doc_id long, start long").withColumn("index", F.get(ahead, F.spark_partition_id()) + F.col("place"))
+    held = within.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id"))).alias("d"))
+    lists = F.transform("d", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start")))
+    held.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), lists.alias("documents")).write.parquet(f"{path}-docs")
     rows = rows.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), "record")
     placed = rows.repartitionById(max(1, -(-n // per)), (F.col("slot") / per).cast("int")).sortWithinPartitions("slot")
     placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
@@ -152,6 +172,13 @@ def read_shards(spark: SparkSession, layout: dict, first: int = 0) -> DataFrame:
     return rows.where(F.col("slot") >= first)
 
 
+def record_documents(spark: SparkSession, layout: dict) -> DataFrame:
+    """(slot, documents): the documents with ids in the record, in order. ``start`` is the place in the record of the
+    document's first id, below 0 when it began in an earlier sequence."""
+    return spark.read.schema("slot long, documents array<struct<doc_id: long, start: long>>").parquet(f"{layout['path']}-docs")
+
+
 def op2_training_order(spark, sf_dir: str) -> DataFrame:
     layout = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_path(spark, "shards"))
-    return read_shards(spark, layout).withColumn("tokens_md5", F.md5("tokens")).drop("tokens")
+    read = read_shards(spark, layout).withColumn("tokens_md5", F.md5("tokens")).drop("tokens")
+    return read.join(record_documents(spark, layout).hint("merge"), "slot", "left")
