@@ -72,6 +72,17 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx", label: st
     return placed.join(F.broadcast(ahead), "pid").withColumn(name, F.col("ahead") + F.col("at")).drop("pid", "at", "ahead")
 
 
+def lane_join(rows: DataFrame, table: DataFrame, key: str, by: Column, lanes: int = 64, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table(key, ...)``, one row for each key, where one key may hold most of ``rows``.
+
+    Every key is split into lanes by a hash of ``by``. Only the lanes a key really has are laid out, from at most
+    ``lanes`` light rows of it, so a rare key costs one row more and a hot one is spread over ``lanes`` tasks.
+    """
+    dealt = rows.withColumn("__lane", F.pmod(F.xxhash64(by), F.lit(lanes)))
+    met = dealt.where(F.col(key).isNotNull()).select(key, "__lane").distinct()
+    return dealt.join(met.join(table.hint("merge"), key).hint("merge"), [key, "__lane"], how).drop("__lane")
+
+
 def connected_components(edges: DataFrame, seed: int = 7) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges(a, b)``, both long.
 
@@ -91,18 +102,17 @@ def connected_components(edges: DataFrame, seed: int = 7) -> DataFrame:
         best = both.select("a", "b", key("b").alias("h")).groupBy("a").agg(F.min_by("b", "h").alias("rep"), F.min("h").alias("h"))
         rep = freeze(best.select(F.col("a").alias("node"), F.when(F.col("h") < key("a"), F.col("rep")).otherwise(F.col("a")).alias("rep")), "reps")
         maps.append(rep)
-        ra = rep.select(F.col("node").alias("a"), F.col("rep").alias("ra")).hint("merge")
-        rb = rep.select(F.col("node").alias("b"), F.col("rep").alias("rb")).hint("merge")
-        level = freeze(
-            level.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
-            "edges",
-        )
+        # a hub has many edges: each end is looked up in lanes
+        low = lane_join(level, rep.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a", F.col("b"))
+        ends = lane_join(low, rep.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b", F.col("a"))
+        level = freeze(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     if not maps:
         return level.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0].select("node", F.col("rep").alias("root"))
     for rep in maps[1:]:
-        step = rep.select(F.col("node").alias("root"), F.col("rep").alias("up")).hint("merge")
-        out = out.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        # maps shrink by a constant factor; a root of many nodes is looked up in lanes
+        step = rep.select(F.col("node").alias("root"), F.col("rep").alias("up"))
+        out = lane_join(out, step, "root", F.col("node"), how="left").select("node", F.coalesce("up", "root").alias("root"))
     out = freeze(out, "roots")
-    least = out.groupBy("root").agg(F.min("node").alias("component")).hint("merge")
-    return freeze(out.join(least, "root").select("node", "component"), "components")
+    least = out.groupBy("root").agg(F.min("node").alias("component"))
+    return freeze(lane_join(out, least, "root", F.col("node")).select("node", "component"), "components")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.common import connected_components, freeze, partitions_of
+from ledgerweave.llm.common import connected_components, freeze, lane_join, partitions_of
 from ledgerweave.llm.jaccard_links import near_copies
 
 HALF = (1 << 32) - 1
@@ -70,8 +70,8 @@ def neighbours(fp: Column) -> Column:
 
 def links(fps: DataFrame, crowd: int = 8) -> DataFrame:
     """Edges (a, b) between the distinct values of ``fps(fp)`` whose components are those of all links."""
-    # a fingerprint gives 64 keys: the small table is dealt out before it grows
-    spread = fps.repartition(partitions_of(fps.sparkSession), "fp")
+    # a fingerprint gives 64 keys: the small table is dealt out row by row before it grows
+    spread = freeze(fps.select("fp"), "simhash-distinct").repartition(partitions_of(fps.sparkSession))
     variants = spread.select("fp", F.explode(deletion_keys(F.col("fp"))).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = freeze(variants.join(shared.hint("merge"), "key"), "simhash-members")
@@ -86,14 +86,15 @@ def links(fps: DataFrame, crowd: int = 8) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, crowd: int = 8) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``."""
-    prints = freeze(docs.select("doc_id", simhash("text").alias("fp")), "simhash")
+    prints = freeze(docs.select("doc_id", simhash("text").alias("fp"), F.monotonically_increasing_id().alias("row")), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(links(distinct.select("fp"), crowd))
     grouped = distinct.join(parts.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     grouped = freeze(grouped.select("fp", "root", "least"), "simhash-groups")
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge")
-    of = grouped.join(named, "root").select("fp", "component_id").hint("merge")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a large component, and a fingerprint of many documents (all empty texts), are looked up in lanes
+    of = freeze(lane_join(grouped, named, "root", F.col("fp")).select("fp", "component_id"), "simhash-named")
+    return lane_join(prints, of, "fp", F.struct("doc_id", "row")).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_deletion_variants(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     marked = docs.withColumn("__row", row)
-    of = near_copies(marked.select("doc_id", F.col("__row").alias("row"), "text"), ["doc_id"])
+    of = near_copies(marked.select("doc_id", F.col("__row").alias("row"), "text"), ["doc_id"], links)
     kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = marked.join(kept.hint("merge"), "__row", "left_semi").groupBy("__row").agg(F.min_by(whole, F.xxhash64(whole)).alias("__best"))

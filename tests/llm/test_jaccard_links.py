@@ -37,7 +37,7 @@ def edited(rnd, words, n):
 
 @pytest.mark.parametrize("crowd", [2, 16])
 def test_stage_keeps_one_of_each_jaccard_group(spark, crowd, monkeypatch):
-    monkeypatch.setattr(S, "near_copies", lambda d, k: J.near_copies(d, k, crowd))
+    monkeypatch.setattr(S, "near_copies", lambda d, k, f: J.near_copies(d, k, f, crowd))
     rnd, texts = random.Random(5), [None, "", "one two", "One  two", "three"]
     line = [f"common{i}" for i in range(30)]
     for g in range(8):

@@ -2,7 +2,7 @@ import corpus_pipeline
 from ledgerweave.llm import gam_quality as G
 from ledgerweave.llm import piece_sampling as P
 from ledgerweave.llm import sainte_lague_mix as M
-from tests_support_llm import brute_components, brute_fp
+from test_jaccard_links import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_every_stage_on_its_own_input(spark, tmp_path):
             assert sum(i in {r.doc_id for r in after} for i in clean) >= 0.95 * len(clean)
         elif name == "simhash_near_dedup":
             before.sort(key=lambda r: r.doc_id)
-            comp = brute_components([brute_fp(r.text) for r in before])
+            comp = brute_groups([r.text for r in before])
             assert {r.doc_id for r in after} == {before[c].doc_id for c in comp} and len(after) == len(set(comp))
         elif name == "sainte_lague_mix":
             plan = {r.doc_id: r.taken for r in M.taken_words(docs).collect()}
