@@ -66,6 +66,50 @@ def test_quotas_are_highest_quotients(spark):
         assert all(q >= 0 for r in rows for q in r.quotas)
 
 
+@pytest.mark.parametrize("target", [{"a": 100.0, "b": 100.0}, {"a": 50.0, "b": 150.0, "c": 250.0, "d": 50.0}, {c: 66.0 for c in "gfedcba"}])
+def test_equal_quotients_go_by_source_in_every_shard(spark, target):
+    shares = spark.createDataFrame(list(target.items()), "source string, target double")
+    by_source = dict(sorted(target.items()))
+    for block, shards in ((66, 1), (40, 5), (7, 8)):
+        rows = M.quotas(shares, block, shards).collect()
+        house = max(1, round(sum(target.values()) / block))
+        for k in range(shards):
+            want = highest_quotients(by_source, house * (k + 1) // shards)
+            assert {r.source: sum(r.quotas[: k + 1]) for r in rows} == want, (block, shards, k)
+
+
+def test_shards_take_their_quotas(spark):
+    docs = [(i, " ".join(["w"] * (1 + i * 53 % 700)), "abc"[min(i % 7, 2)]) for i in range(400)] + [(None, "w " * 3, "tiny")] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = M.taken_words(df, shards=4).collect()
+    size = {s: sum(len(d[1].split()) for d in docs if d[2] == s) for s in {d[2] for d in docs}}
+    block = M.block_words(sum(size.values()), len(size))
+    target = {r.source: r.target for r in rows}
+    house = round(sum(target.values()) / block)
+    taken, words = {}, {}
+    for n, r in enumerate(rows):
+        assert sum(s.hi - s.lo for s in r.spans) == r.taken and all(0 <= s.lo < s.hi <= r.size for s in r.spans)
+        for s in r.spans:
+            taken[r.source, s.shard] = taken.get((r.source, s.shard), 0) + s.hi - s.lo
+            words.setdefault((n, s.round), []).extend(range(s.lo, s.hi))
+    assert all(len(w) == len(set(w)) for w in words.values())
+    for k in range(4):
+        for s, quota in highest_quotients(dict(sorted(target.items())), house * (k + 1) // 4).items():
+            assert sum(taken.get((s, i), 0) for i in range(k + 1)) == min(quota * block, 3 * size[s])
+
+
+def test_stage_with_repeated_and_null_ids(spark):
+    same = [(None, "a b c d e", "s"), (None, "v w x y z", "s"), (7, "k l m n o", "s"), (7, "p q r s t", "s"), (7, "p q r s t", "s")] * 40 + [(9, "u " * 500, "t"), (None, None, "t"), (None, "", None)]
+    df = spark.createDataFrame([(*r, i, "c") for i, r in enumerate(same)], "doc_id long, text string, source string, __n long, row string")
+    plan = {s: sum(r.taken for r in M.taken_words(df).where(M.F.col("source") == s).collect()) for s in ("s", "t")}
+    out = M.mixed(spark, df, "")
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert {s: sum(len(r.text.split()) for r in rows if r.source == s) for s in ("s", "t")} == plan
+    assert all(len(r.text.split()) == 5 for r in rows if r.source == "s") or plan["s"] % 5
+    assert M.mixed(spark, df.limit(0), "").count() == 0
+
+
 def test_stage_rows(spark):
     docs = [(i, " ".join(f"t{j}" for j in range(1 + i % 40)), f"s{i % 5}", 0) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
