@@ -12,7 +12,7 @@ shuffle.
 Defined results: a null or empty text scores as the model scores zero counts; labels without a document, with a null
 quality or with a null doc_id are not used; repeated rows score alike and come back once each; with labels of one
 class or none the score is their smoothed share (0.5 without labels); a null doc_id is not held out; extra columns
-are not read.
+are not read; of several texts under one labelled id the one with the smallest hash is learned from.
 """
 
 from __future__ import annotations
@@ -186,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, seed: i
     usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", text_features("text").alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", text_features("text").alias("x"), F.xxhash64("text").alias("h"))
+    # of several texts under one id the one with the smallest hash counts, so reruns fit the same model
+    rows = found.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("x", "h").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r.quality) for r in rows]))
 
