@@ -5,7 +5,8 @@ subdomains are one interval of sorted keys, and rule intervals are nested or apa
 (reversed host, path, salt); a rule is copied to every range its interval meets. Each range is then swept once in
 order with a stack of the rules open at that key; of those whose path starts the page's path the longest host+path
 wins. Neither side is broadcast or collected: the driver sees only the range bounds, drawn from a hash sample of
-``64`` keys for each range. The salt lets one host, or one url, spread over many ranges.
+``SAMPLE`` keys for each range and cut to the shortest texts that still part their neighbours. The salt lets one host,
+or one url, spread over many ranges.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
 the end. A null url or one without ``://`` has both empty.
@@ -32,6 +33,7 @@ from ledgerweave.llm.common import partitions_of
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = "\U0010ffff"
+SAMPLE = 16
 
 
 def url_host(url: Column) -> Column:
@@ -47,10 +49,18 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+def _parting(low: str, high: str) -> str:
+    """The shortest start of ``high`` that sorts after ``low``."""
+    same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return high[: same + 1]
+
+
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Sorted cut points of the key space from a hash sample of at most 64 keys for each range."""
-    rows = sorted(r[0] for r in keys.orderBy("salt", "key").limit(64 * ranges).select("key").collect())
-    return sorted({rows[len(rows) * i // ranges] for i in range(1, ranges)}) if rows else []
+    """Sorted cut points of the key space: one key for each of ``SAMPLE * ranges`` hash classes reaches the driver."""
+    drawn = keys.groupBy(F.pmod("salt", F.lit(SAMPLE * ranges)).alias("class")).agg(F.min_by("key", "salt").alias("key"))
+    rows = sorted(r.key for r in drawn.collect())
+    cuts = [len(rows) * i // ranges for i in range(1, ranges)]
+    return sorted({_parting(rows[i - 1], rows[i]) for i in cuts if i and rows[i - 1] < rows[i]})
 
 
 def _range_of(bounds: list[str]):
@@ -98,7 +108,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     spans = known.withColumn("lo", place("rev")).withColumn("hi", place(F.concat("rev", F.lit(AFTER))))
     copies = spans.withColumn("pid", F.explode(F.sequence("lo", "hi"))).select("pid", "rev", F.lit(0).alias("kind"), empty.alias("page_id"), "host", "path", "verdict")
     urls = asked.select(place("key").alias("pid"), "rev", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
-    both = urls.unionByName(copies).repartition(n, "pid").sortWithinPartitions("pid", "rev", "kind", "path")
+    both = urls.unionByName(copies).repartitionById(n, F.col("pid")).sortWithinPartitions("pid", "rev", "kind", "path")
     out = both.mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
