@@ -9,7 +9,7 @@ three are resolved.
 As-of join: records are range-sorted by (url, time), each range carries the last response forward over its own rows,
 and the at most two urls that a range shares with its neighbours get the last response of earlier ranges from a table
 of one row for each range and shared url. So one url may hold most records. Bodies are joined only afterwards, by
-record id.
+record id; a response that very many revisits share is split there by Spark's skew join.
 
 Defined results: of responses at one time the largest record id wins; a response at the revisit's own time is not
 earlier; records with a null url, time or id are matched to nothing (a revisit of that kind gives ``no_response``);
@@ -96,7 +96,7 @@ def resolve(records: DataFrame) -> DataFrame:
     used = records.where("kind = 'response' and record_id is not null").select(F.col("record_id").alias("sid"), F.col("headers").alias("stored"), "body")
     need = pairs.where("resolved").select(F.col("response_id").alias("sid")).distinct()
     used = used.join(need.hint("merge"), "sid", "left_semi")
-    used = used.groupBy("sid").agg(F.max_by(F.struct("stored", "body"), F.struct(F.length("body"), "body")).alias("s")) if _repeats(used) else used.select("sid", F.struct("stored", "body").alias("s"))
+    used = used.groupBy("sid").agg(F.max_by(F.struct("stored", "body"), F.struct(F.length("body"), "body")).alias("s"))
     out = pairs.join(answers.hint("merge"), F.col("record_id") == F.col("aid"), "left")
     names = ["record_id", "canonical", "ts", "response_id", "outcome", "resolved"]
     # only resolved revisits meet stored bodies: the others would all share one null key
@@ -106,16 +106,12 @@ def resolve(records: DataFrame) -> DataFrame:
     return whole.unionByName(bare)
 
 
-def _repeats(used: DataFrame) -> bool:
-    return not used.groupBy("sid").count().where("count > 1").isEmpty()
-
-
 DAY = 86_400
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """Crawl records that pages give by rule: a response, a later revisit, and for every third page a changed response
-    and a second revisit. Every fourth page has Last-Modified instead of ETag; every eleventh answers with a foreign
+    and a second revisit; a page without page_id has no record id and gives none. Every fourth page has Last-Modified instead of ETag; every eleventh answers with a foreign
     validator; the first revisit of every fifth page comes before its response."""
     p = pages.select("page_id", "url", "html").where("page_id is not null")
     html = F.coalesce("html", F.lit(""))
