@@ -15,8 +15,10 @@ Record: doc_id of the document its first id belongs to (8 bytes, big-endian), th
 number of ids (2, top bit: no doc_id), ids, separator. ``path-docs`` holds all documents of each record, as (doc_id,
 start) by slot; it is kept beside the shards because thousands of short documents can meet in one record.
 
-Defined results: null text is empty; an empty text is its end mark; repeated rows are documents of their own; extra columns are not read; an empty table gives no shards. The numbering is fixed by the
-input files and the split size, so reruns and retried tasks agree.
+Defined results: null text is empty; an empty text is its end mark; repeated rows are documents of their own; extra columns are
+not read; an empty table gives no shards. ``docs`` is scanned three times and must come in the same partitions and order
+each time, as stored tables do (freeze other inputs first): the numbering is then fixed by the input files and the split
+size, so reruns and retried tasks agree.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import scratch_path
+from ledgerweave.llm.common import freeze, scratch_path
 
 STRIDE, HEAD = 2048, 14
 TOKENS = STRIDE - HEAD - 1
@@ -118,18 +120,18 @@ def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 3
     """Writes ``docs(doc_id, text)`` in training order under ``path``; returns the layout, also kept in ``path-layout``."""
     spark = docs.sparkSession
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    counted = docs.groupBy(F.spark_partition_id().alias("pid")).agg(F.ceil(F.sum(size) / TOKENS).alias("n")).collect()  # one row for each input partition
-    sizes = np.zeros(max((r.pid for r in counted), default=-1) + 1, dtype=np.int64)
-    for r in counted:
-        sizes[r.pid] = r.n
-    n = int(sizes.sum())
+    counts = freeze(docs.groupBy(F.spark_partition_id().alias("pid")).agg(F.ceil(F.sum(size) / TOKENS).cast("long").alias("n")), "shard-counts")
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    upto = F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, 0))
+    # one row of two numbers for each input partition: a proven bound for the broadcast
+    ahead = F.broadcast(counts.select("pid", (upto - F.col("n")).alias("ahead")))
     shards = max(1, -(-n * STRIDE // shard_bytes))
     per = max(1, -(-n // shards))
     layout = {"path": path, "n": n, "per_shard": per, "stride": STRIDE, "key": key}
-    ahead = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum(sizes) - sizes])
-    rows = packed(docs).withColumn("index", F.get(ahead, F.shiftright("number", 33).cast("int")) + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = packed(docs).withColumn("pid", F.shiftright("number", 33).cast("int")).join(ahead, "pid").withColumn("index", F.col("ahead") + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
-    within = sized.mapInArrow(_places, "place long, doc_id long, start long").withColumn("index", F.get(ahead, F.spark_partition_id()) + F.col("place"))
+    within = sized.mapInArrow(_places, "place long, doc_id long, start long").withColumn("pid", F.spark_partition_id())
+    within = within.join(ahead, "pid").withColumn("index", F.col("ahead") + F.col("place"))
     held = within.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id"))).alias("d"))
     lists = F.transform("d", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start")))
     held.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), lists.alias("documents")).write.parquet(f"{path}-docs")
