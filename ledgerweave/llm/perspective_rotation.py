@@ -7,8 +7,9 @@ end, its text and ``<|end|>`` with a line end. The assistant's text and end mark
 ``<\\|``, so a text cannot forge a turn.
 
 A dialogue is rendered in parts of ``part_turns`` messages, one row for each participant and part, in order; joined
-they are the whole dialogue. So a conversation of any length never sits in one task: places come from a dense rank
-over range-sorted messages, and only a part's bounded messages are gathered.
+they are the whole dialogue. So a conversation of any length never sits in one task: places come from range-sorted
+messages (a conversation's start is looked up by range), only a part's bounded messages are gathered, and the
+participants meet the parts of a conversation in lanes of ``LANE`` parts.
 
 Defined results: turns in order of (turn, role, text), null turns last; a null role is the speaker ``unknown``; a null
 text is empty; a null conv_id is a conversation of its own; repeated turns are messages of their own; a conversation
@@ -17,12 +18,13 @@ of system turns only has no perspective and gives no rows; extra columns are not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import dense_index, freeze
+from ledgerweave.llm.common import freeze, with_place
 
 END = "<|end|>\n"
+LANE = 64
 
 
 def escaped(text: Column) -> Column:
@@ -33,13 +35,19 @@ def rotate(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     """(conv_id, participant, part, n_messages, n_trained, rendered, mask) of ``turns(conv_id, turn, role, text)``."""
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    ranked = freeze(dense_index(rows, order, "place", "turns"), "turns-ranked")
-    first = ranked.groupBy(F.col("conv_id").alias("c1")).agg(F.min("place").alias("first")).hint("merge")
-    placed = ranked.join(first, F.col("conv_id").eqNullSafe(F.col("c1"))).withColumn("place", F.col("place") - F.col("first"))
+    ranked = with_place(rows, order, "turns")
+    ranges = freeze(ranked.groupBy("conv_id", "pid").agg(F.count("*").alias("n"), F.min("at").alias("first")), "turns-ranges")
+    # messages of the conversation in earlier ranges; all but the first range of a conversation start with it
+    earlier = F.sum("n").over(Window.partitionBy("conv_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = ranges.select(F.col("conv_id").alias("c1"), F.col("pid").alias("p1"), (F.col("first") - earlier).alias("start")).hint("merge")
+    placed = ranked.join(starts, (F.col("pid") == F.col("p1")) & F.col("conv_id").eqNullSafe(F.col("c1"))).withColumn("place", F.col("at") - F.col("start"))
     message = F.struct("place", "role", escaped(F.col("role")).alias("name"), escaped(F.col("text")).alias("text"))
     parts = placed.groupBy("conv_id", F.floor(F.col("place") / part_turns).cast("int").alias("part")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
-    people = ranked.where("role <> 'system'").select(F.col("conv_id").alias("c2"), F.col("role").alias("participant")).distinct().hint("merge")
-    views = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c2")))
+    parts = parts.withColumn("lane", F.floor(F.col("part") / LANE).cast("int"))
+    people = ranked.where("role <> 'system'").select(F.col("conv_id").alias("c2"), F.col("role").alias("participant")).distinct()
+    sizes = ranges.groupBy(F.col("conv_id").alias("c3")).agg(F.floor((F.sum("n") - 1) / (part_turns * LANE)).cast("int").alias("last"))
+    people = people.join(sizes.hint("merge"), F.col("c2").eqNullSafe(F.col("c3"))).select("c2", "participant", F.explode(F.sequence(F.lit(0), "last")).alias("l2"))
+    views = parts.join(people.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("lane") == F.col("l2")))
 
     def header(m: Column) -> Column:
         named = F.concat(F.lit("<|user name="), m["name"], F.lit("|>\n"))
