@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.common import connected_components, freeze
+from ledgerweave.llm.common import connected_components, freeze, lane_join
 
 TABLES = list(combinations(range(8), 2))
 #: byte-equality mask -> the first table in which such a pair meets, or -1
@@ -183,8 +183,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 51
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     nonzero = F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & finite & nonzero, F.lit(False))
-    good = rows.where(usable)
-    reps = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).withColumn("rid", F.monotonically_increasing_id())
+    # equal vectors of a label are known by a 128-bit hash
+    good = rows.where(usable).withColumn("twin", F.struct(F.xxhash64("label", "embedding").alias("h"), F.xxhash64(F.lit(seed), "embedding", "label").alias("k")))
+    light = freeze(good.select("vec_id", "twin", F.monotonically_increasing_id().alias("row")), "itq-rows")
+    reps = good.groupBy("twin").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("rid", F.monotonically_increasing_id())
     reps = freeze(reps, "itq-vectors")
     code = _coder(_rotations(reps, sample_rows, seed), seed)
     coded = freeze(reps.select("rid", "label", "m", "embedding", code("embedding").alias("code")), "itq-codes")
@@ -206,12 +208,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 51
 
     parts = connected_components(found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    named = reps.select("rid", "label", "embedding", "least", "m")
+    named = reps.select("rid", "twin", "least", "m")
     named = named.join(links.hint("merge"), "rid", "left").join(parts.withColumnRenamed("node", "rid").hint("merge"), "rid", "left")
-    named = freeze(named.select("label", "embedding", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("root")), "itq-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge")
-    of = named.join(least, "root").select("label", "embedding", "n_links", "component_id")
-    linked = good.join(of.hint("merge"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    named = freeze(named.select("twin", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("root")), "itq-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a large component, and a vector with very many copies, are looked up in lanes
+    of = freeze(lane_join(named, least, "root", F.col("twin")).select("twin", "n_links", "component_id"), "itq-twins")
+    linked = lane_join(light, of, "twin", F.col("row")).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
