@@ -8,12 +8,14 @@ or other rows.
 
 The text is read as UTF-8 after one leading blank. In pieces the blank mark stands for a blank; a character without a
 piece of its own falls back to byte pieces (so does a literal U+2581). Decoding joins the pieces' bytes and drops the
-leading blank: it gives back every text exactly. Pieces never reach over a blank or a line end, so the lattice of a
-text is a chain of word lattices, and each distinct word of a batch gets its lattice once.
+leading blank: it gives back every text exactly. Pieces never reach over a blank, a line end, or the cuts that part a
+longer word into runs of at most ``LONG`` bytes (whole characters); so the lattice of a text is a chain of short word
+lattices, and each distinct word of a batch gets its lattice once.
 
 Defined results: null text gives null pieces; an empty text gives the pieces of the leading blank; rows with the same
 key and text get the same pieces; a null key is a key of its own; other columns are not read; an empty table gives
-no rows. Batches are cut into parts of about ``PART`` bytes, a longer text being a part of its own.
+no rows. Batches are worked off in parts of at most ``PART`` bytes; a longer text is cut at the starts of words, which
+changes no piece of it, so memory is bounded by the part and the text itself.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 1_500_000
+PART, LONG = 1_500_000, 512
 BLANK, LINE = 32, 10
 
 
@@ -167,12 +169,23 @@ def build(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces)
 
 
 def words_of(buf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Starts of words: at a text's start, around line ends, at the first of a run of blanks."""
+    """Starts of words: at a text's start, around line ends, at the first of a run of blanks, and inside long words."""
     start = np.zeros(len(buf), dtype=bool)
     start[docs] = True
     line = buf == LINE
     start |= line
     start[1:] |= line[:-1] | ((buf[1:] == BLANK) & (buf[:-1] != BLANK))
+    begin = np.flatnonzero(start)
+    end = np.concatenate([begin[1:], [len(buf)]])
+    more = end - begin > LONG
+    at, end = begin[more], end[more]
+    while len(at):
+        at = at + LONG
+        for _ in range(3):  # back to the start of the character
+            at = at - ((buf[at] & 0xC0) == 0x80)
+        start[at] = True
+        on = end - at > LONG
+        at, end = at[on], end[on]
     return np.flatnonzero(start)
 
 
@@ -194,9 +207,9 @@ def distinct_words(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tupl
     return np.concatenate([first, odd]), kind
 
 
-def sample(texts: list[bytes], keys: np.ndarray, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token ids of all texts end to end, number of tokens of each text)."""
-    raw = [b" " + t for t in texts]
+def sample(raw: list[bytes], keys: np.ndarray, at: np.ndarray, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids of all segments end to end, number of tokens of each). A segment of a text with its leading blank
+    starts at byte ``at`` of it, where a word starts."""
     lengths = np.array([len(t) for t in raw], dtype=np.int64)
     docs = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -210,7 +223,7 @@ def sample(texts: list[bytes], keys: np.ndarray, pieces: Pieces, seed: int) -> t
     node = base + size[order]
     with np.errstate(over="ignore"):
         stream = mix64(keys.astype(np.uint64) ^ mix64(np.array([seed], dtype=np.uint64)))[doc]
-        offset = (origin - docs[doc] - base).astype(np.uint64)
+        offset = (origin - docs[doc] + at[doc] - base).astype(np.uint64)
         out = np.full(len(buf), -1, dtype=np.int32)
         live = np.arange(len(node))
         while len(live):
@@ -237,16 +250,27 @@ def _byte_table(pieces: Pieces) -> dict[int, bytes]:
     return dict(zip(pieces.ids, pieces.texts, strict=True)) | {i: bytes([b]) for b, i in enumerate(pieces.bytes_ids)}
 
 
-def _parts(texts: list[bytes | None]) -> Iterator[list[int]]:
+def segments(raw: bytes) -> list[tuple[int, bytes]]:
+    """A text in pieces of at most ``PART`` bytes that start with words, each with its place."""
+    if len(raw) <= PART:
+        return [(0, raw)]
+    begin = words_of(np.frombuffer(raw, dtype=np.uint8), np.array([0]))
+    cuts = [0]
+    while len(raw) - cuts[-1] > PART:
+        cuts.append(int(begin[np.searchsorted(begin, cuts[-1] + PART, side="right") - 1]))
+    return [(i, raw[i:j]) for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
+
+def _parts(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (row, place, segment) of at most ``PART`` bytes together, in order."""
     part, n = [], 0
     for i, t in enumerate(texts):
-        if t is None:
-            continue
-        if part and n + len(t) > PART:
-            yield part
-            part, n = [], 0
-        part.append(i)
-        n += len(t)
+        for at, raw in segments(b" " + t) if t is not None else []:
+            if part and n + len(raw) > PART:
+                yield part
+                part, n = [], 0
+            part.append((i, at, raw))
+            n += len(raw)
     if part:
         yield part
 
@@ -261,11 +285,12 @@ def _encoder(pieces: Pieces, seed: int, names: list[str]):
             counts = np.zeros(len(texts), dtype=np.int64)
             whole = np.ones(len(texts), dtype=bool)
             for part in _parts(texts):
-                got, n = sample([texts[i] for i in part], keys[part], pieces, seed)
+                row = np.array([i for i, _, _ in part])
+                got, n = sample([raw for _, _, raw in part], keys[row], np.array([at for _, at, _ in part]), pieces, seed)
                 ids.append(got)
-                counts[part] = n
-                for i, one in zip(part, np.split(got, np.cumsum(n)[:-1]), strict=True):
-                    whole[i] = b"".join(map(table.__getitem__, one.tolist()))[1:] == texts[i]
+                np.add.at(counts, row, n)
+                for (i, _, raw), one in zip(part, np.split(got, np.cumsum(n)[:-1]), strict=True):
+                    whole[i] &= b"".join(map(table.__getitem__, one.tolist())) == raw
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             none = np.array([t is None for t in texts], dtype=bool)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([none, [False]]))

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 from itertools import pairwise
 
@@ -29,7 +30,7 @@ def paths(text, pieces):
 @pytest.mark.parametrize("text", [b"abab", b"aba  ab", b"  ab"])
 def test_sampling_has_the_path_probabilities(text):
     n = 20_000
-    ids, counts = P.sample([text] * n, np.arange(n), SMALL, 3)
+    ids, counts = P.sample([b" " + text] * n, np.arange(n), np.zeros(n, int), SMALL, 3)
     got = Counter(tuple(ids[a:b]) for a, b in pairwise(np.concatenate([[0], np.cumsum(counts)])))
     want = paths(b" " + text, SMALL)
     assert set(got) <= set(want)
@@ -40,15 +41,34 @@ def test_sampling_has_the_path_probabilities(text):
 def test_row_key_decides_and_batches_do_not():
     pieces = P.load_pieces()
     texts = ["The quick brown fox.\nJumps  over ▁ it \U0001f600 é\x00", "", " ", "\n\n", "x" * 3000, "many words " * 50]
-    raw = [t.encode() for t in texts]
-    keys = np.arange(len(texts)) + 7
-    ids, n = P.sample(raw, keys, pieces, 29)
+    raw = [b" " + t.encode() for t in texts]
+    keys, zero = np.arange(len(texts)) + 7, np.zeros(1, int)
+    ids, n = P.sample(raw, keys, np.zeros(len(raw), int), pieces, 29)
     ends = np.cumsum(n)
     parts = np.split(ids, ends[:-1])
     for t, k, part in zip(raw, keys, parts, strict=True):
-        assert P.decode(part.tolist(), pieces) == t.decode()
-        assert (P.sample([t], np.array([k]), pieces, 29)[0] == part).all()
-    assert any(len(P.sample([raw[0]], np.array([k]), pieces, 29)[0]) != n[0] for k in range(20))
+        assert P.decode(part.tolist(), pieces) == t.decode()[1:]
+        assert (P.sample([t], np.array([k]), zero, pieces, 29)[0] == part).all()
+    assert any(len(P.sample([raw[0]], np.array([k]), zero, pieces, 29)[0]) != n[0] for k in range(20))
+
+
+def test_segments_change_no_piece(monkeypatch):
+    pieces = P.load_pieces()
+    raw = (" " + "some words \n and  ünïcödé " * 90 + "é" * 1500 + "x\n\n" + "漢字" * 400).encode()
+    one, _ = P.sample([raw], np.array([5]), np.zeros(1, int), pieces, 29)
+    monkeypatch.setattr(P, "PART", 700)
+    parts = P.segments(raw)
+    assert len(parts) > 5 and b"".join(t for _, t in parts) == raw and max(len(t) for _, t in parts) <= 700
+    ids, _ = P.sample([t for _, t in parts], np.full(len(parts), 5), np.array([at for at, _ in parts]), pieces, 29)
+    assert (ids == one).all()
+
+
+def test_five_megabytes_without_a_blank(spark):
+    text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(1_000_000)) + "q8" * 1_000_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    began = time.time()
+    out = P.encode_sampled(df).select("doc_id", "n_pieces", "lossless").collect()
+    assert len(out) == 2 and all(r.lossless for r in out) and time.time() - began < 90
 
 
 def test_frame(spark):
