@@ -96,7 +96,8 @@ def connected_components(edges: DataFrame, seed: int = 7) -> DataFrame:
 
     Each round every node takes one neighbour (or itself) as its representative and edges are rewritten to
     representatives. Round 0 takes the smallest id, which folds stars at once; later rounds use a fresh hash
-    order, so that long chains also shrink by a constant factor. All work is joins and partial aggregates.
+    order, so that long chains also shrink by a constant factor. All work is joins and partial aggregates; the edges of
+    a hub are two longs each, and Spark's adaptive skew join splits them.
     """
     level = freeze(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
@@ -110,17 +111,18 @@ def connected_components(edges: DataFrame, seed: int = 7) -> DataFrame:
         best = both.select("a", "b", key("b").alias("h")).groupBy("a").agg(F.min_by("b", "h").alias("rep"), F.min("h").alias("h"))
         rep = freeze(best.select(F.col("a").alias("node"), F.when(F.col("h") < key("a"), F.col("rep")).otherwise(F.col("a")).alias("rep")), "reps")
         maps.append(rep)
-        # a hub has many edges: each end is looked up in lanes
-        low = lane_join(level, rep.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a", F.col("b"))
-        ends = lane_join(low, rep.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b", F.col("a"))
-        level = freeze(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        ra = rep.select(F.col("node").alias("a"), F.col("rep").alias("ra")).hint("merge")
+        rb = rep.select(F.col("node").alias("b"), F.col("rep").alias("rb")).hint("merge")
+        level = freeze(
+            level.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
+            "edges",
+        )
     if not maps:
         return level.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0].select("node", F.col("rep").alias("root"))
     for rep in maps[1:]:
-        # maps shrink by a constant factor; a root of many nodes is looked up in lanes
-        step = rep.select(F.col("node").alias("root"), F.col("rep").alias("up"))
-        out = lane_join(out, step, "root", F.col("node"), how="left").select("node", F.coalesce("up", "root").alias("root"))
+        step = rep.select(F.col("node").alias("root"), F.col("rep").alias("up")).hint("merge")
+        out = out.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     out = freeze(out, "roots")
     least = out.groupBy("root").agg(F.min("node").alias("component"))
     return freeze(lane_join(out, least, "root", F.col("node")).select("node", "component"), "components")

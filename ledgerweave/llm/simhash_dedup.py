@@ -54,18 +54,19 @@ def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def deletion_keys(fp: Column) -> Column:
     """64 keys: for each half and bit place, the half without that bit, tagged by half and place."""
-    keys = []
-    for half in (0, 1):
-        part = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(HALF))
-        for i in range(32):
-            low = part.bitwiseAND(F.lit((1 << i) - 1))
-            high = F.shiftright(part, i + 1)
-            keys.append(F.shiftleft(high, i).bitwiseOR(low).bitwiseOR(F.lit((32 * half + i) << 32)))
-    return F.array(*keys)
+    def key(k: Column) -> Column:
+        part = F.call_function("shiftrightunsigned", fp, F.lit(32) * (k >= 32).cast("int")).bitwiseAND(F.lit(HALF))
+        i = k % 32
+        low = part.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i) - 1)
+        high = F.call_function("shiftleft", F.call_function("shiftright", part, i + 1), i)
+        return high.bitwiseOR(low).bitwiseOR(F.call_function("shiftleft", k.cast("long"), F.lit(32)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), key)
 
 
 def neighbours(fp: Column) -> Column:
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+    flipped = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return F.concat(F.array(fp), flipped)
 
 
 def links(fps: DataFrame, crowd: int = 8) -> DataFrame:
