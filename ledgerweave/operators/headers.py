@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from ledgerweave.functions import codes, numbers, text
 
 HEADING = r"(?i)bon\s+de\s+commande|proforma|commande\b|facture"
-COMPANY = r"(?i)\b(sarl|s\.a\.r\.l|s\.a\.|spa|suarl|sas|ste|soci[eé]t[eé]|repartition|grossiste|laboratoire|pharma|distribution|medical|import|export|groupe|holding|avenir|rekik)\b"
+#: Words that mark a company name.
+COMPANY_WORDS = (
+    r"sarl|s\.a\.r\.l|s\.a\.|s\.a\b|spa|suarl|sas|ste\b|soci[eé]t[eé]|repartition|r[eé]partiteur|grossiste|laboratoire|pharma|distribution|"
+    r"m[eé]dicament|medical|import|export|commerce|groupe|holding|avenir|rekik"
+)
+COMPANY = rf"(?iu)\b({COMPANY_WORDS})\b"
+#: Openings that no company name or address has, and words of an address.
 NOT_COMPANY = r"(?i)^(route|rue|avenue|av\.|bd\.|date|tel|fax|m\.f|r\.c|page|code|email|sfax|tunis|nabeul|sousse|edite|prepare|medis\b)"
 ADDRESS = r"(?i)\b(route|rue|avenue|bd|boulevard|cit[eé]|zone\s+ind|lotissement|impasse|r[eé]sidence|quartier|km\s*\d)\b"
 NOT_ADDRESS = r"(?i)^(tel|t[eé]l|fax|m\.?f|r\.?c|sfax|tunis|nabeul|sousse|date|page|code|email|bon\s+de|facture|proforma|commande|medis|pharma|laboratoire)"

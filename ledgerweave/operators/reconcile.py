@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import codes, numbers, text
+from ledgerweave.functions import codes, fuzzy, numbers, text
 
 #: Fixed values of the scoring rules.
 TOLERANCE = 0.001
@@ -120,13 +120,14 @@ def reconcile(lines: DataFrame, dim: DataFrame, settings: Settings | None = None
     ).drop("ref", "codes", "mp_found", "article_found", "__order", "__read", "__qty", "__blank", "__fill")
 
 
-def _substrings(word: Column, least: int) -> Column:
-    """All substrings of a word from ``least`` characters on."""
+def _substrings(word: Column, least: int, most: int) -> Column:
+    """All substrings of a word from ``least`` to ``most`` characters."""
     n = F.length(word)
 
     def at(i: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(word, i, k))
-        return F.when(n - i + 1 >= least, some).otherwise(F.array().cast("array<string>"))
+        longest = F.least(n - i + 1, F.lit(most))
+        some = F.transform(F.sequence(F.lit(least), longest), lambda k: F.substring(word, i, k))
+        return F.when(longest >= least, some).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)))
 
@@ -135,26 +136,67 @@ def matched_suppliers(invoices: DataFrame, suppliers: DataFrame, strict: bool =
     """The first supplier (by IDFournisseur) with the same tax id, whose name is inside the read name, or whose
     name holds a word of the read name longer than three letters. ``strict`` prefers tax id, then name, then word.
 
-    All three tests are equality joins: on the tax id; on the supplier name's first word among the substrings of the
-    read words (then the whole name is looked for); on the read words among the substrings of the supplier's words.
-    Only distinct read names are matched, so no pair of an invoice and a supplier is ever tested in a loop.
+    All three tests are equality joins, each against one row for a tax id, a name or a part of a word that holds its
+    first supplier: so a word that all suppliers share gives one row for a read name, not one for each supplier. Texts
+    are cut to substrings no longer than the longest supplier name or read word (two scalars on the driver). Only
+    distinct read names are matched.
     """
     inv = invoices.select("invoice_id", codes.supplier_name(F.col("supplier_name")).alias("n"), codes.upper_trim(F.col("supplier_mf")).alias("mf"))
     sup = suppliers.select("IDFournisseur", codes.supplier_name(F.col("Nom")).alias("nom"), codes.upper_trim(F.col("MF")).alias("smf"))
-    by_mf = inv.where("mf <> ''").join(sup.where("smf <> ''"), F.col("mf") == F.col("smf")).select("invoice_id", "IDFournisseur", F.lit(0).alias("kind"))
-    read = inv.where("n <> ''").select("n").distinct().select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    first = F.min("IDFournisseur").alias("IDFournisseur")
+    ids = sup.where("smf <> ''").groupBy(F.col("smf").alias("mf")).agg(first)
+    by_mf = inv.where("mf <> ''").join(ids.hint("merge"), "mf").select("invoice_id", "IDFournisseur", F.lit(0).alias("kind"))
+    read = inv.where("n <> ''").select("n").distinct()
+    words = read.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w")).where("length(w) > 3")
     named = sup.where("nom <> ''")
-    starts = read.select("n", F.explode(_substrings(F.col("w"), 1)).alias("w")).distinct()
-    inside = starts.join(named.withColumn("w", F.split("nom", " ")[0]), "w").where(F.contains(F.col("n"), F.col("nom"))).select("n", "IDFournisseur", F.lit(1).alias("kind"))
-    parts = named.select("IDFournisseur", F.explode(F.split("nom", " ")).alias("x")).select("IDFournisseur", F.explode(_substrings(F.col("x"), 4)).alias("w")).distinct()
-    token = read.where("length(w) > 3").join(parts, "w").select("n", "IDFournisseur", F.lit(2).alias("kind"))
-    by_name = inv.join(inside.unionAll(token).distinct(), "n").select("invoice_id", "IDFournisseur", "kind")
+    longest_name = named.agg(F.max(F.length("nom"))).first()[0] or 0
+    longest_word = words.agg(F.max(F.length("w"))).first()[0] or 0
+    names = named.groupBy(F.col("nom").alias("w")).agg(first)
+    inside = read.select("n", F.explode(_substrings(F.col("n"), 1, longest_name)).alias("w")).join(names.hint("merge"), "w").select("n", "IDFournisseur", F.lit(1).alias("kind"))
+    parts = named.select("IDFournisseur", F.explode(F.split("nom", " ")).alias("x")).groupBy("x").agg(first)
+    parts = parts.select("IDFournisseur", F.explode(_substrings(F.col("x"), 4, longest_word)).alias("w")).groupBy("w").agg(first)
+    token = words.join(parts.hint("merge"), "w").select("n", "IDFournisseur", F.lit(2).alias("kind"))
     rank = F.struct("kind", "IDFournisseur") if strict else F.struct("IDFournisseur", "kind")
+    found = inside.unionAll(token).groupBy("n").agg(F.min(rank).alias("r")).select("n", "r.IDFournisseur", "r.kind")
+    by_name = inv.join(found.hint("merge"), "n").select("invoice_id", "IDFournisseur", "kind")
     best = by_mf.unionAll(by_name).groupBy("invoice_id").agg(F.min_by("IDFournisseur", rank).alias("IDFournisseur"))
     out = invoices.join(best, "invoice_id", "left").join(suppliers.select("IDFournisseur", F.col("Nom").alias("erp_supplier_name"), F.col("MF").alias("erp_supplier_mf"), F.col("Code").alias("erp_supplier_code")), "IDFournisseur", "left")
     return out.withColumn("supplier_status", F.when(F.col("IDFournisseur").isNull(), "SUPPLIER_UNKNOWN").otherwise("SUPPLIER_MATCH"))
 
 
+def reconciled_documents(documents: DataFrame, lines: DataFrame, suppliers: DataFrame, dim: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents with their matched supplier, and their lines reconciled under the documents' type and family.
+
+    ``documents(invoice_id, supplier_name, supplier_mf, document_type, invoice_family, ...)``; a line's own doc_type
+    or invoice_family, where it is not blank, comes before the document's.
+    """
+    heads = documents.select("invoice_id", F.col("document_type").alias("__type"), F.col("invoice_family").alias("__family"))
+    own = lines.join(heads, "invoice_id", "left")
+    own = own.withColumns({c: F.coalesce(numbers.blank_to_null(F.col(c)), F.col(d), F.lit("")) for c, d in (("doc_type", "__type"), ("invoice_family", "__family"))}).drop("__type", "__family")
+    return matched_suppliers(documents, suppliers), reconcile(own, dim, settings)
+
+
+#: Similarity from which a read designation is shown, and those of the text-match confidence.
+SHOWN_SIMILARITY, SURE_RATIO, MATCH_SURE, MATCH_NOISY = 88, 0.82, 0.95, 0.72
+
+
+def displayed(rows: DataFrame, read: str, reference: str, quantity: str) -> DataFrame:
+    """Adds ``shown`` and ``match_confidence``.
+
+    N12: the cleaned read text is shown unless it is noisy or under 88 like the cleaned reference text. N13: 0.95 for a
+    read text without noise at least 82 % like the reference text, else 0.72.
+    """
+    none = F.lit(None).cast("string")
+    cleaned, ref = (fuzzy.clean_designation(F.col(c), F.col(quantity), F.lit(False), none) for c in (read, reference))
+    out = rows.withColumn("__t", F.explode(F.array(F.struct(cleaned.alias("read"), ref.alias("ref"), text.product_label(F.col(read)).alias("a"), text.product_label(F.col(reference)).alias("b")))))
+    labels = F.explode(F.array(F.struct("__t.*", text.product_label(F.col("__t.read")).alias("c"), text.product_label(F.col("__t.ref")).alias("d"))))
+    out = out.withColumn("__t", labels).withColumns({"__shown": fuzzy.similarity(F.col("__t.c"), F.col("__t.d")), "__whole": fuzzy.similarity(F.col("__t.a"), F.col("__t.b"))})
+    t, plain = F.col("__t"), ~text.has_noise(F.col(read))
+    keep = (t["ref"] == "") | (plain & (t["read"] != "") & (F.col("__shown") >= SHOWN_SIMILARITY))
+    sure = plain & (t["a"] != "") & (t["b"] != "") & (F.col("__whole") >= 100 * SURE_RATIO)
+    return out.withColumns({"shown": F.when(keep, t["read"]).otherwise(t["ref"]), "match_confidence": F.when(sure, MATCH_SURE).otherwise(MATCH_NOISY)}).drop("__t", "__shown", "__whole")
+
+
 def canonical_lines(rows: DataFrame) -> DataFrame:
     """Extraction rows to canonical lines; of alias columns that are there, the first that is not blank."""
 

@@ -128,9 +128,15 @@ def discovered_vendors(headers: DataFrame) -> DataFrame:
     return headers.select(mf.alias("tax_id"), first.alias("name"), "file").where("tax_id is not null and name <> ''").groupBy("tax_id").agg(F.max_by("name", "file").alias("name"))
 
 
+#: Lengths of a tax id with 6, 7 or 8 digits.
+ID_LENGTHS = (15, 16, 17)
+
+
 def known_vendor(documents: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Vendor whose tax id is inside the read tax id; ids of one length are a substring join by equality."""
-    size = 16
-    pieces = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("read_id") - size + 1, F.lit(1))), lambda i: F.substring(F.col("read_id"), i, F.lit(size))))
-    hit = documents.select("doc_id", pieces.alias("tax_id")).join(vendors, "tax_id").groupBy("doc_id").agg(F.min(F.struct("tax_id", "name")).alias("v"))
-    return documents.join(hit.select("doc_id", F.col("v.name").alias("vendor")), "doc_id", "left")
+    """Vendor whose tax id is inside the read tax id. Ids are 6 to 8 digits and 9 more characters long (see
+    ``codes.tax_id``), so a substring join by equality takes three lengths; of several ids the smallest counts."""
+    at = F.sequence(F.lit(1), F.greatest(F.length("read_id"), F.lit(1)))
+    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, ID_LENGTHS)), lambda n: F.substring(F.col("read_id"), i, n))))
+    known = vendors.groupBy("tax_id").agg(F.min("name").alias("name")).hint("merge")
+    hit = documents.select("doc_id", F.explode(F.array_distinct(pieces)).alias("tax_id")).join(known, "tax_id").groupBy("doc_id").agg(F.min(F.struct("tax_id", "name")).alias("v"))
+    return documents.join(hit.select("doc_id", F.col("v.name").alias("vendor")).hint("merge"), "doc_id", "left")

@@ -48,7 +48,11 @@ def st2(spark, sf_dir):
 FROM (SELECT *, lag(state) OVER (PARTITION BY submission_id ORDER BY event_at, event_id) AS before FROM {EVENTS.format(events='events')}) GROUP BY submission_id""",
 )
 def st5(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events")
+    return followed(spark, _stream(spark, sf_dir, "events"))
+
+
+def followed(spark, events):
+    """State and counts of each submission after all its events."""
     kind = F.col("event_type")
     moves = events.select("event_id", F.col("user_id").alias("submission_id"), F.col("ts").alias("event_at"), F.when(kind == "view", "held").when(kind == "purchase", "posted").otherwise("pending").alias("state"))
     out = S.each_batch(S.tracked(moves), lambda b: b, S.folder(spark, "st5"), "update")
@@ -66,11 +70,17 @@ def _lines(spark, sf_dir, batch):
 
 @query("st1_upload_stream", JUDGED + f" SELECT invoice_id, count(*) AS n_lines, {COUNTS}, CAST(0 AS BIGINT) AS n_unchecked FROM rec GROUP BY invoice_id")
 def st1(spark, sf_dir):
-    """ST1: every micro-batch of lines is reconciled against the static dimension and recorded."""
-    def job(batch):
-        return rollup.status_counts(R.reconcile(_lines(batch.sparkSession, sf_dir, batch), R.articles(frame(batch.sparkSession, sf_dir, "f_article"))))
+    """ST1: the uploads of every micro-batch are reconciled against the static dimension and recorded."""
+    return rollup.status_counts(uploads(spark, sf_dir, _stream(spark, sf_dir, "lineitem"), "st1"))
+
 
-    return S.each_batch(_stream(spark, sf_dir, "lineitem"), job, S.folder(spark, "st1"))
+def uploads(spark, sf_dir, stream, name):
+    """Reconciled lines of all uploads, each with all its lines however they were split over micro-batches."""
+
+    def job(rows):
+        return R.reconcile(_lines(spark, sf_dir, rows), R.articles(frame(spark, sf_dir, "f_article"))).drop("field_confidence")
+
+    return S.each_upload(stream, "l_orderkey", job, S.folder(spark, name), "invoice_id")
 
 
 @query(
@@ -80,8 +90,5 @@ s AS (SELECT invoice_id, sum(CASE WHEN status = 'PRICE_MISMATCH' THEN abs(prix_u
 SELECT invoice_id, n AS n_mismatch, round(gap, 3) AS impact FROM s WHERE n > 0 AND total > 0 AND gap / total * 100 >= 0.05""",
 )
 def st6(spark, sf_dir):
-    def job(batch):
-        lines = R.reconcile(_lines(batch.sparkSession, sf_dir, batch), R.articles(frame(batch.sparkSession, sf_dir, "f_article")))
-        return rollup.price_alerts(lines, R.Settings(alert_threshold_pct=0.05)).select("invoice_id", "n_mismatch", F.round("impact", 3).alias("impact"))
-
-    return S.each_batch(_stream(spark, sf_dir, "lineitem"), job, S.folder(spark, "st6"))
+    lines = uploads(spark, sf_dir, _stream(spark, sf_dir, "lineitem"), "st6")
+    return rollup.price_alerts(lines, R.Settings(alert_threshold_pct=0.05)).select("invoice_id", "n_mismatch", F.round("impact", 3).alias("impact"))

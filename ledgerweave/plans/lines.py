@@ -165,10 +165,11 @@ def m1(spark, sf_dir):
 @query(
     "d1_date_texts",
     """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed, strftime(o_orderdate, '%d/%m/%Y') AS repaired,
-  CASE WHEN year(o_orderdate) <= 1996 THEN strftime(o_orderdate, '%d/%m/%Y') END AS validated FROM orders WHERE day(o_orderdate) > 12""",
+  CASE WHEN year(o_orderdate) > 1996 THEN NULL WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS validated FROM orders""",
 )
 def d1(spark, sf_dir):
-    own = frame(spark, sf_dir, "orders").where("day(o_orderdate) > 12")
+    """D1-D3 for every order; a month-first text is set right only where the day shows the order (above 12)."""
+    own = frame(spark, sf_dir, "orders")
     formats = [F.date_format("o_orderdate", f) for f in ("dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")]
     written = F.element_at(F.array(*formats), (F.col("o_orderkey") % 3 + 1).cast("int"))
     noisy = F.translate(F.date_format("o_orderdate", "dd-MM-yyyy"), "015", "OIS")
@@ -178,13 +179,16 @@ def d1(spark, sf_dir):
 
 @query(
     "f9_noise_patterns",
-    """SELECT doc_id, CASE WHEN line_no % 2 = 0 THEN true ELSE false END AS noisy FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents)""",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+t AS (SELECT doc_id, regexp_replace(raw, '^[\s\v]+|[\s\v]+$', '', 'g') AS t FROM l WHERE NOT regexp_matches(raw, '[^\x01-\x7f]'))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (t <> '' AND (regexp_matches(t, '^[\s\d"''#<>.,;:!?~`]') OR regexp_matches(t, '[\s"''#<>.,;:!?~`]$') OR regexp_matches(t, '[<>~`]|"[^"]*$')
+  OR (regexp_matches(t, '^\d{1,5}\s+[A-Z].+$') AND NOT regexp_matches(t, '(?i)^\d+\s*MG\b')) OR regexp_matches(t, '^[^A-Z]{1,3}\s+[A-Z]'))) AS n_noisy FROM t GROUP BY doc_id""",
 )
 def f9(spark, sf_dir):
-    """Plain designations made from the document number, every other one with a stray quantity in front."""
-    own = frame(spark, sf_dir, "documents").select("doc_id")
-    name = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("doc_id") % 90 + 1).cast("string"), F.lit(" AMLODIPINE FORTE"))).otherwise("AMLODIPINE 10 MG")
-    return own.select("doc_id", text.has_noise(name).alias("noisy"))
+    """noisy ones among the plain ASCII lines of every whole text (the two engines differ on other blanks)."""
+    own = frame(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("raw"))
+    own = own.where(~F.regexp_like("raw", F.lit(r"[^\x01-\x7f]")))
+    return own.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.has_noise(F.col("raw"))).alias("n_noisy"))
 
 
 @query("n14_label_similarity")

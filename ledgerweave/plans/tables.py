@@ -84,9 +84,12 @@ def a26(spark, sf_dir):
 
 @query(
     "j16_known_vendors",
-    ctes("f_supplier") + " SELECT IDFournisseur AS doc_id, CASE WHEN IDFournisseur % 2 = 0 THEN Nom END AS vendor FROM f_supplier",
+    ctes("f_supplier") + " SELECT IDFournisseur AS doc_id, CASE WHEN IDFournisseur % 5 <> 4 THEN Nom END AS vendor FROM f_supplier",
 )
 def j16(spark, sf_dir):
-    s = frame(spark, sf_dir, "f_supplier")
-    read = s.select(F.col("IDFournisseur").alias("doc_id"), F.concat(F.lit("MF:"), F.when(F.col("IDFournisseur") % 2 == 0, F.col("MF")).otherwise("0"), F.lit(" x")).alias("read_id"))
-    return T.known_vendor(read, s.select(F.col("MF").alias("tax_id"), F.col("Nom").alias("name"))).select("doc_id", "vendor")
+    """Tax ids of six, seven and eight digits; every fifth document shows none."""
+    n = F.col("IDFournisseur")
+    digits = F.when(n % 3 == 0, F.concat(F.lit("9"), F.lpad(n.cast("string"), 7, "0"))).when(n % 3 == 1, F.lpad(n.cast("string"), 6, "0")).otherwise(F.concat(F.lit("8"), F.lpad(n.cast("string"), 6, "0")))
+    s = frame(spark, sf_dir, "f_supplier").withColumn("id", F.concat(digits, F.lit("A/P/M/000")))
+    read = s.select(n.alias("doc_id"), F.concat(F.lit("MF:"), F.when(n % 5 != 4, F.col("id")).otherwise("0"), F.lit(" x")).alias("read_id"))
+    return T.known_vendor(read, s.select(F.col("id").alias("tax_id"), F.col("Nom").alias("name"))).select("doc_id", "vendor")

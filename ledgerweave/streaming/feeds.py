@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerweave.operators import workflow
@@ -23,17 +24,37 @@ def drained(stream: DataFrame, path: str, mode: str = "append", partition: list[
 
 def each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, mode: str = "append") -> DataFrame:
     """Runs a batch job on every micro-batch. A batch writes its own folder and overwrites it when replayed, so a
-    restart leaves every row once; in complete mode the newest batch replaces the others."""
+    restart leaves every row once; only in complete mode the newest batch, which holds all, replaces the others."""
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        folder = f"{path}/batch={number}" if mode == "append" else path
+        folder = path if mode == "complete" else f"{path}/batch={number}"
         job(batch).write.mode("overwrite").parquet(folder)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
     return spark.read.parquet(path).drop("batch")
 
 
+def each_upload(stream: DataFrame, key: str, job: Callable[[DataFrame], DataFrame], path: str, out_key: str) -> DataFrame:
+    """Runs ``job`` on every upload that a micro-batch touches, with all of its rows that have come so far.
+
+    Rows are recorded by batch; a batch reruns its uploads whole and writes its own folder, so an upload split over
+    batches or a replayed batch counts once. Read back is each upload as its newest batch left it.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        recorded = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/rows").where(F.col("batch") <= number)
+        touched = recorded.where(F.col("batch") == number).select(key).distinct()
+        job(recorded.drop("batch").join(touched.hint("merge"), key, "left_semi")).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    done = spark.read.parquet(f"{path}/result")
+    newest = done.groupBy(out_key).agg(F.max("batch").alias("batch"))
+    return done.join(newest.hint("merge"), [out_key, "batch"], "left_semi").drop("batch")
+
+
 def tail(spark: SparkSession, folder: str, glob: str, like: DataFrame, files: int = 1) -> DataFrame:
     """The Parquet files of a folder that match ``glob``, as a stream with a declared schema; times count as UTC."""
     stream = spark.readStream.schema(like.schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)

@@ -59,8 +59,6 @@ def test_similarity():
     assert fuzzy.token_set_ratio("AMLODIPINE MEDIS 10", "MEDIS AMLODIPINE 10 MG") == 100.0
     assert fuzzy.indel_ratio("abcd", "abxd") == 75.0
     assert fuzzy.partial_ratio("facture", "une facture de") == 100.0
-    assert fuzzy.product_span("x 24 AMLODIPINE MEDIS 10 MG B/30 COMP zz") == "AMLODIPINE MEDIS 10 MG B/30 COMP"
-    assert fuzzy.designation("302970 24 7 AMLODIPINE MEDIS 10 MG B/30 COMP", "24", True, "302970") == "AMLODIPINE MEDIS 10 MG B/30 COMP"
 
 
 def parsed(spark, f, *raw):
@@ -147,3 +145,73 @@ def test_exports_and_commit_marker(spark, tmp_path):
 def test_document_texts(spark, zone, want):
     pages = spark.createDataFrame([(1, 2, zone, "b"), (1, 1, zone, "a")], "doc int, page int, zone string, text string")
     assert files.document_texts(pages, "doc").first().text == want
+
+
+def test_designations(spark):
+    rows = [
+        ("x 24 AMLODIPINE MEDIS 10 MG B/30 COMP zz", None, None, "AMLODIPINE MEDIS 10 MG B/30 COMP"),
+        ("302970 24 7 AMLODIPINE MEDIS 10 MG B/30 COMP", "24", "302970", "AMLODIPINE MEDIS 10 MG B/30 COMP"),
+        ("** AB 12 DOLIPRANE 500MG; EFFERALGAN VITAMINE C 1000 MG B/16 COMP ~~", None, None, "EFFERALGAN VITAMINE C 1000 MG B/16 COMP"),
+        ("SERUM PHYSIO 5 ML", None, None, "SERUM PHYSIO 5 ML"),
+        ("MAXI GEL DOUX 3 #", None, None, "MAXI GEL DOUX 3"),
+        ("abc Vitamine 12", None, None, "Vitamine 12"),
+        ("Huile (douce)", None, None, "Huile"),
+        ("##", None, None, ""),
+        (None, None, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "d string, q string, c string, want string")
+    got = df.select("want", fuzzy.clean_designation(F.col("d"), F.col("q"), F.lit(True), F.col("c")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_similarity_of_labels_by_brute_force(spark):
+    """Every part name, against the longest common subsequence by plain recursion over both texts."""
+    import functools
+
+    from ledgerweave import registry
+
+    def ratio(a, b):
+        @functools.lru_cache(None)
+        def lcs(i, j):
+            return 0 if i == len(a) or j == len(b) else 1 + lcs(i + 1, j + 1) if a[i] == b[j] else max(lcs(i + 1, j), lcs(i, j + 1))
+
+        return 200.0 * lcs(0, 0) / (len(a) + len(b))
+
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    for r in registry.queries()["n14_label_similarity"](spark, "/root/testdata/sf0.001").collect():
+        name = names[r.p_partkey]
+        other = name.split(" ", 1)[1] if " " in name else name
+        a, b = set(name.split()), set(other.split())
+        both, left = " ".join(sorted(a & b)), " ".join(sorted(a - b))
+        want = 100.0 if both and (not left or not b - a) else max(ratio(f"{both} {left}".strip(), both), ratio(both, f"{both} {left}".strip()))
+        assert abs(r.token_set - want) < 1e-5
+        short, long = sorted((name, other), key=len)
+        assert abs(r.partial - max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))) < 1e-5
+
+
+def test_streams_do_not_depend_on_the_file_split(spark, tmp_path):
+    from ledgerweave.plans import feeds as P
+    from ledgerweave.streaming import feeds as S
+
+    sf = "/root/testdata/sf0.001"
+    for table, key in (("events", "event_id"), ("lineitem", "l_linenumber")):
+        for n in range(2):  # users and orders are in both files
+            spark.read.parquet(f"{sf}/{table}.parquet").where(F.col(key) % 2 == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{table}")
+
+    def stream(t):
+        return S.tail(spark, f"{tmp_path}/{t}", "*.parquet", spark.read.parquet(f"{sf}/{t}.parquet"))
+
+    def rows(df):
+        return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+    got, want = P.followed(spark, stream("events")), P.st5(spark, sf)
+    assert rows(got.select("submission_id", "n_events")) == rows(want.select("submission_id", "n_events"))
+    assert rows(P.rollup.status_counts(P.uploads(spark, sf, stream("lineitem"), "split"))) == rows(P.st1(spark, sf))
+
+
+def test_suppliers_that_share_a_word(spark):
+    sup = spark.createDataFrame([(i, f"F{i}", f"PHARMA LABO {i}" if i < 40 else "LABO", f"{i:07d}A/P/M/000") for i in range(41)], "IDFournisseur int, Code string, Nom string, MF string")
+    inv = spark.createDataFrame([(1, "ste pharma labo 7 sud", ""), (2, "nobody", ""), (3, "xxlaboyy", ""), (4, "pharma", "0000009A/P/M/000")], "invoice_id int, supplier_name string, supplier_mf string")
+    loose = {r.invoice_id: r.IDFournisseur for r in R.matched_suppliers(inv, sup).collect()}
+    strict = {r.invoice_id: r.IDFournisseur for r in R.matched_suppliers(inv, sup, True).collect()}
+    assert loose == {1: 0, 2: None, 3: 40, 4: 0} and strict == {1: 7, 2: None, 3: 40, 4: 9}
