@@ -26,10 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART, LONG = 1_500_000, 512
+PART, LONG, SLICE = 1_000_000, 512, 4_000_000
 BLANK, LINE = 32, 10
 
 
@@ -275,10 +276,19 @@ def _parts(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield part
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``SLICE`` bytes of text, so that texts and pieces of few rows are held."""
+    size = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(size, dtype=np.int64) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(i, j - i)
+
+
 def _encoder(pieces: Pieces, seed: int, names: list[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_table(pieces)
-        for batch in batches:
+        for batch in (s for b in batches for s in _slices(b)):
             texts = batch.column("__text").cast(pa.binary()).to_pylist()
             keys = batch.column("__key").to_numpy()
             ids: list[np.ndarray] = []
