@@ -180,14 +180,13 @@ def d1(spark, sf_dir):
 @query(
     "f9_noise_patterns",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
-t AS (SELECT doc_id, regexp_replace(raw, '^[\s\v]+|[\s\v]+$', '', 'g') AS t FROM l WHERE NOT regexp_matches(raw, '[^\x01-\x7f]'))
+t AS (SELECT doc_id, regexp_replace(raw, '^[\s\v]+|[\s\v]+$', '', 'g') AS t FROM l)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (t <> '' AND (regexp_matches(t, '^[\s\d"''#<>.,;:!?~`]') OR regexp_matches(t, '[\s"''#<>.,;:!?~`]$') OR regexp_matches(t, '[<>~`]|"[^"]*$')
   OR (regexp_matches(t, '^\d{1,5}\s+[A-Z].+$') AND NOT regexp_matches(t, '(?i)^\d+\s*MG\b')) OR regexp_matches(t, '^[^A-Z]{1,3}\s+[A-Z]'))) AS n_noisy FROM t GROUP BY doc_id""",
 )
 def f9(spark, sf_dir):
-    """noisy ones among the plain ASCII lines of every whole text (the two engines differ on other blanks)."""
+    """noisy ones among the lines of every whole text."""
     own = frame(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("raw"))
-    own = own.where(~F.regexp_like("raw", F.lit(r"[^\x01-\x7f]")))
     return own.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.has_noise(F.col("raw"))).alias("n_noisy"))
 
 
