@@ -40,6 +40,23 @@ def breakdown_of_payloads(metadata: DataFrame, newest: int = 50) -> DataFrame:
     return status.agg(*rollup.status_aggregates(F.col("validation_status")))
 
 
+def metrics(kpi: DataFrame, by_day: DataFrame, by_status: DataFrame, of_payloads: DataFrame) -> DataFrame:
+    """(section, name, value) of the key figures, the daily volume and the status counts; runs without any count
+    give way to the counts of the payloads. All but the volume are single rows."""
+
+    def rows(df: DataFrame, section: str, named: dict[str, Column]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in named.items()])
+        return df.select(F.lit(section).alias("section"), F.inline(pairs))
+
+    other = {"valid": "n_valid", "low_conf": "n_low_confidence", "price_mismatch": "n_price_mismatch", "unknown": "n_unknown_product"}
+    none = sum((F.col(c) for c in other), F.lit(0)) == 0
+    status = by_status.crossJoin(of_payloads)
+    return (
+        rows(kpi, "kpi", {c: F.col(c) for c in kpi.columns}).unionAll(rows(status, "status", {c: F.when(none, F.col(p)).otherwise(F.col(c)) for c, p in other.items()}))
+        .unionAll(by_day.select(F.lit("day"), F.date_format("day", "yyyy-MM-dd"), F.col("n_runs").cast("double")))
+    )
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """L1-L4: one page; ``order`` has to end in a unique key."""
     return df.orderBy(*order).offset(offset).limit(limit)

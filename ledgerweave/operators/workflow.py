@@ -58,7 +58,19 @@ def submitted(batch: DataFrame, posted: DataFrame, current: DataFrame) -> tuple[
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def posted_tables(heads: DataFrame, lines: DataFrame, articles: DataFrame, already: DataFrame, first_id: int = 1) -> dict[str, DataFrame]:
+def approved_batch(submissions: DataFrame, ok: Column, lines: DataFrame, articles: DataFrame, already: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables to post, events) of a batch of submissions: those that may be approved are posted and get the state
+    ``posted`` with the id of their invoice. An invoice is posted once: not when it is in ``already``, and of several
+    submissions by the first."""
+    first = Window.partitionBy("lib_facture").orderBy("submission_id")
+    able = submissions.where(ok).join(already.select("lib_facture").distinct(), "lib_facture", "left_anti")
+    able = able.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    tables = posted_tables(able.select("invoice_id", "lib_facture", "stated_total"), lines, articles, already)
+    events = able.select("submission_id", "lib_facture", F.lit("posted").alias("state")).join(tables["facture"], "lib_facture")
+    return tables, events
+
+
+def posted_tables(heads: DataFrame, lines: DataFrame, articles: DataFrame, already: DataFrame) -> dict[str, DataFrame]:
     """Facture, lignefac, alert and metadata rows of invoices not posted yet.
 
     Ids come from a hash of the invoice key, so a rerun of the same batch makes the same rows; the metadata row is the

@@ -139,3 +139,34 @@ def f22(spark, sf_dir):
 )
 def s10(spark, sf_dir):
     return rollup.status_counts(reconciled(spark, sf_dir))
+
+
+def _metrics_sql(valid: str) -> str:
+    counts = (("valid", "n_valid"), ("low_conf", "n_low_confidence"), ("price_mismatch", "n_price_mismatch"), ("unknown", "n_unknown_product"))
+    status = " ".join(f"UNION ALL SELECT 'status', '{c}', CAST(CASE WHEN (SELECT sum({valid}) FROM f_run) = 0 THEN {p} ELSE (SELECT sum({c}_count * ({valid} > 0)::INT) FROM f_run) END AS DOUBLE) FROM pay" for c, p in counts)
+    return JUDGED + ",\n" + ctes("f_run").removeprefix("WITH ") + f""",
+last AS (SELECT invoice_id FROM (SELECT DISTINCT invoice_id FROM rec) ORDER BY invoice_id % 1000 DESC, invoice_id DESC LIMIT 50),
+pay AS (SELECT {COUNTS} FROM rec WHERE invoice_id IN (SELECT invoice_id FROM last) AND invoice_id % 50 <> 3)
+SELECT 'kpi' AS section, 'n_runs' AS name, CAST(count(*) AS DOUBLE) AS value FROM f_run
+UNION ALL SELECT 'kpi', 'seconds_a_page', round(avg(CASE WHEN status = 'COMPLETED' AND page_count > 0 THEN CAST(duration_ms AS DOUBLE) / nullif(page_count, 0) END) / 1000, 1) FROM f_run
+UNION ALL SELECT 'kpi', 'valid_pct', CASE WHEN sum({valid}) = 0 THEN NULL ELSE round(CAST(sum(valid_count) AS DOUBLE) / sum(valid_count + low_conf_count + price_mismatch_count + unknown_count) * 100, 1) END FROM f_run
+UNION ALL SELECT 'kpi', 'n_invoices', CAST(count(*) AS DOUBLE) FROM orders
+UNION ALL SELECT 'kpi', 'open_alerts', CAST(count(*) AS DOUBLE) FROM lineitem WHERE l_partkey % 7 = 0 {status}
+UNION ALL SELECT 'day', strftime(CAST(run_at AS DATE), '%Y-%m-%d'), CAST(count(*) AS DOUBLE) FROM f_run WHERE CAST(run_at AS DATE) > DATE '2024-01-06' AND CAST(run_at AS DATE) <= DATE '2024-01-20' GROUP BY 2"""
+
+
+def _metrics(spark, sf_dir, runs):
+    kpi = P.kpis(runs, frame(spark, sf_dir, "orders"), frame(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0"))
+    return P.metrics(kpi, P.volume(runs, "2024-01-20"), P.breakdown(runs), P.breakdown_of_payloads(payloads(spark, sf_dir)))
+
+
+@query("r14_metrics", _metrics_sql("(valid_count + low_conf_count + price_mismatch_count + unknown_count + 1)"))
+def r14(spark, sf_dir):
+    return _metrics(spark, sf_dir, frame(spark, sf_dir, "f_run"))
+
+
+@query("r14_metrics_of_payloads", _metrics_sql("(valid_count * 0)"))
+def r14_payloads(spark, sf_dir):
+    """Runs that counted nothing: the status counts come from the newest payloads."""
+    zero = {c: F.lit(0).cast("long") for c in ("valid_count", "low_conf_count", "price_mismatch_count", "unknown_count")}
+    return _metrics(spark, sf_dir, frame(spark, sf_dir, "f_run").withColumns(zero))

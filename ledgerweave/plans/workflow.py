@@ -122,6 +122,26 @@ def r7(spark, sf_dir):
     return s.groupBy(decision.alias("decision"), "validation_status").agg(F.count("*").alias("n"), F.sum("total_ht").cast("double").alias("total_ht"))
 
 
+@query(
+    "r7_posted_states",
+    JUDGED + ",\n" + ctes("f_submission").removeprefix("WITH ") + """,
+sub AS (SELECT *, workflow_status IN ('pending', 'held') AND (review_score_pct >= 85 OR submission_id % 6 = 0) AS ok FROM f_submission),
+win AS (SELECT submission_id, row_number() OVER (PARTITION BY lib_facture ORDER BY submission_id) AS rn FROM sub WHERE ok AND lib_facture NOT IN (SELECT lib_facture FROM sub WHERE workflow_status = 'posted')),
+lt AS (SELECT invoice_id, sum(qty * CAST(CAST(coalesce(display_price, 0) AS DECIMAL(12,3)) AS DOUBLE)) AS lt FROM rec GROUP BY invoice_id)
+SELECT s.submission_id, CASE WHEN rn = 1 THEN 'posted' ELSE workflow_status END AS state,
+  CASE WHEN rn = 1 THEN CAST(CAST(round(CASE WHEN s.submission_id % 2 = 0 THEN CAST(total_ht AS DOUBLE) ELSE coalesce(lt, 0) END, 3) AS DECIMAL(12,3)) AS DOUBLE) END AS posted_ht
+FROM sub s LEFT JOIN win w ON w.submission_id = s.submission_id LEFT JOIN lt ON lt.invoice_id = s.submission_id""",
+)
+def r7_states(spark, sf_dir):
+    """State of every submission after the approval of all that may be approved."""
+    s = frame(spark, sf_dir, "f_submission").withColumn("invoice_id", F.col("submission_id"))
+    s = s.withColumn("stated_total", F.when(F.col("submission_id") % 2 == 0, F.col("total_ht").cast("double")).otherwise(0.0))
+    ok, _ = W.approval(Settings(), F.col("submission_id") % 6 == 0)
+    _, events = W.approved_batch(s, ok, reconciled(spark, sf_dir), frame(spark, sf_dir, "f_article"), s.where("workflow_status = 'posted'"))
+    after = s.select("submission_id", "workflow_status").join(events.select("submission_id", "state", "TotalHT"), "submission_id", "left")
+    return after.select("submission_id", F.coalesce("state", "workflow_status").alias("state"), F.col("TotalHT").cast("double").alias("posted_ht"))
+
+
 @query(
     "r12_unread_notifications",
     "SELECT user_id AS username, count(*) AS n_unread, max(event_id) AS newest FROM events WHERE event_id NOT IN (SELECT event_id + 2 FROM events WHERE event_type = 'view') GROUP BY user_id",

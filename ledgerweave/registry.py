@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("reconciliation", "workflow", "reports", "quality", "lines", "documents", "merging", "tables", "feeds", "shapes", "scalars")
+_MODULES = ("reconciliation", "workflow", "reports", "quality", "lines", "documents", "merging", "tables", "feeds", "shapes", "scalars", "projections")
 
 
 def query(name: str, sql: str | None = None):

@@ -39,6 +39,11 @@ def write_extraction(tables: dict[str, DataFrame], root: str, batch: str) -> Non
         tables[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
 
 
+def write_report(metrics: DataFrame, path: str) -> None:
+    """A metric report, a row for each metric, as one JSON file."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of a table whose batch has its commit marker."""
     done = spark.read.parquet(f"{root}/metadata").select("batch").distinct()
