@@ -125,8 +125,10 @@ def first_of(lines: DataFrame, doc: str, *key: Column) -> DataFrame:
 def simple_order_lines(lines: DataFrame, doc: str) -> DataFrame:
     """T5: code, quantity, designation of three-column order lines; U7 dedup."""
     own = lines.withColumn("__line", text.line_cleaned(F.col("raw_line"))).withColumn("__raw_code", F.regexp_extract("__line", CODE_START, 1))
-    own = own.withColumn("code", codes.normalized_code(F.col("__raw_code"))).where("length(code) >= 4")
-    own = own.withColumn("__rest", text.stripped(F.substring("__line", F.length("__raw_code") + 1, F.length("__line")))).where("length(__rest) >= 2")
+    own = own.withColumn("__code", codes.normalized_code(F.col("__raw_code"))).withColumn("__rest", text.stripped(F.substring("__line", F.length("__raw_code") + 1, F.length("__line"))))
+    # above the explode, the filter reads columns instead of repeating their rules
+    parts = F.array(F.struct(F.col("__code").alias("code"), "__rest"))
+    own = own.select(*[F.col(f"`{c}`") for c in lines.columns if c != "code"], F.inline(parts)).where("length(code) >= 4 and length(__rest) >= 2")
     own = with_quantity(own)
     scan = F.regexp_extract("__rest", r"\b(?!0+\d{3})(\d{1,5})\b", 1)
     late = F.when(F.col("q.quantity").isNull() & scan.try_cast("int").between(1, MOST_ORDERED), scan)
@@ -135,7 +137,7 @@ def simple_order_lines(lines: DataFrame, doc: str) -> DataFrame:
     out = own.withColumns({"quantite": F.coalesce("q.quantity", late, F.lit("")), "designation": text.edges_cleaned(named)})
     out = out.withColumn("line_confidence", F.when(F.col("quantite") == "", 0.42).otherwise(0.72))
     # equal lines have equal designations, so this filter can follow the window and is not pushed into the parsing
-    return first_of(out.drop("__line", "__raw_code", "__rest", "q"), doc, F.col("code"), F.left("raw_line", F.lit(100))).where("length(designation) >= 2")
+    return first_of(out.drop("__rest", "q"), doc, F.col("code"), F.left("raw_line", F.lit(100))).where("length(designation) >= 2")
 
 
 def dated_order_lines(lines: DataFrame, doc: str) -> DataFrame:

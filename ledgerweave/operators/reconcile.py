@@ -40,12 +40,14 @@ def articles(raw: DataFrame) -> DataFrame:
     return last.select("key", "a")
 
 
-def looked_up(lines: DataFrame, dim: DataFrame) -> DataFrame:
+def looked_up(lines: DataFrame, dim: DataFrame, most: int = 200_000) -> DataFrame:
     """Adds ``ref`` (article found), ``mp_found`` and ``article_found``; needs the struct column ``codes``.
 
     The article code falls back to the primary code, the local code to a numeric primary. Candidate codes become
-    join keys one at a time; the dimension is broadcast only when Spark knows it to be small.
+    join keys one at a time. A dimension of at most ``most`` rows, which are counted first, is broadcast, so the lines
+    stay where they are; a larger one is joined by sorted shuffles.
     """
+    dim = F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim.hint("merge")
 
     def fetch(df: DataFrame, key: Column, name: str) -> DataFrame:
         side = dim.select(F.col("key").alias(f"__{name}"), F.col("a").alias(name))
