@@ -23,10 +23,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import dense_index, free_name, freeze, with_place
+from ledgerweave.llm.common import dense_index, freeze, with_place
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -116,7 +117,7 @@ def block_words(total: int, sources: int, blocks: int = 4096, most: int = 2048)
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
-    """What the mix reads of ``docs(row, doc_id, source, text)``; ``row`` is a long of its own for every row."""
+    """What the mix reads of ``docs(row, doc_id, source, text)``; ``row`` is a value of its own for every row."""
     return docs.select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("kind"))
 
 
@@ -198,19 +199,29 @@ def words_between(text: Column, lo: Column, hi: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lo.cast("int") + 1, (hi - lo).cast("int")), " ")
 
 
+def row_number_in_file(docs: DataFrame) -> Column:
+    """File and row number, the same in every scan however files are split; raises where docs are not read from files."""
+    meta = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("index"))
+
+
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, exactly the words that ``taken_spans`` plans.
 
     A document comes once for every round that takes all of it, as it is; of a round that takes parts of it, each run of
-    words comes as a document of its own. Documents of which nothing is taken go. Rows are numbered when they are read,
-    so repeated or missing doc_ids are never mixed up; columns of any name pass through.
+    words comes as a document of its own. Documents of which nothing is taken go. ``docs`` are rows as read from Parquet
+    files, each known by its file and place, so repeated or missing doc_ids are never mixed up; other rows are written
+    out first. Columns of any name pass through.
     """
-    row = free_name(docs, "row")
-    numbered = freeze(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
-    sized = sized_rows(numbered.select(F.col(row).alias("row"), "doc_id", "source", "text"))
+    try:
+        row = row_number_in_file(docs)
+    except AnalysisException:
+        docs = freeze(docs, "mix-documents")
+        row = row_number_in_file(docs)
+    sized = sized_rows(docs.select(row.alias("row"), "doc_id", "source", "text"))
     taken = taken_spans(sized).where("taken > 0").select("row", "size", "spans")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    joined = numbered.select(F.col(row).alias("row"), whole.alias("doc")).join(taken.hint("merge"), "row")
+    joined = docs.select(row.alias("row"), whole.alias("doc")).join(taken.hint("merge"), "row")
 
     def runs(r: Column) -> Column:
         """Spans of a round, those that touch joined."""
