@@ -1,10 +1,10 @@
-"""The ten registered training-data queries and their SQL."""
+"""The thirteen registered training-data queries and their SQL."""
 
 from __future__ import annotations
 
-from ledgerweave.llm import gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules
+from ledgerweave.llm import exact_top_k, fill_in_middle, gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, token_alignment, training_order, url_rules
 
-_MODULES = (gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, training_order, url_rules)
+_MODULES = (exact_top_k, fill_in_middle, gam_quality, itq_near_dup, perspective_rotation, piece_sampling, revisit_resolution, sainte_lague_mix, simhash_dedup, spotsigs, token_alignment, training_order, url_rules)
 
 
 def queries() -> dict:
