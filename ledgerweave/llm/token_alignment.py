@@ -15,7 +15,7 @@ The count of an id pair is the number of documents that hold it linked.
    in a shuffle join, so neither memory nor result depends on how many pairs there are.
 
 Texts are cut at single blanks between words, where both tokenizers always cut, so a word is encoded and aligned once for
-each cache (``CACHE`` words) of a task. Both vocabularies are checked for that when they are loaded.
+each cache (``CACHE`` words) of a Python worker. Both vocabularies are checked for that when they are loaded.
 
 Defined results: texts that are null or empty, or that either tokenizer does not give back byte by byte (such as those
 with U+2581), have no tokens: zeros and ''. Repeated rows are documents of their own and count as such; a null doc_id
@@ -25,6 +25,7 @@ is kept; ties for an A id's highest count are all best; other columns are not re
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -46,11 +47,12 @@ TOKENIZERS = "/opt/tokenizers"
 SHARD = 1 << 15
 FAN = 16
 TABLE = 1 << 21
-CACHE = 1 << 18
+CACHE = 3 << 18
 CACHE_CHARS = 1 << 25
 SLICE = 4 << 20
 RUN = 1 << 20
-PLAIN = 1000
+CHUNK = 1 << 16
+LONG_BLANK = re.compile(r"\s{500}")
 CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Fixed value: how the byte-level tokenizer cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,7 +67,7 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Pair:
-    """Encoders of both tokenizers for words with their leading blank, and the bytes of every id."""
+    """Encoders of both tokenizers (A's text begins with the blank, B adds it), and the bytes of every id."""
 
     a_bytes: list[bytes]
     b_bytes: list[bytes]
@@ -98,27 +100,27 @@ def tokenizers(folder: str = TOKENIZERS, a: str = "byte_bpe_50k.json", b: str =
     a_bytes = [b""] * (max(vocab.values()) + 1)
     for k, v in vocab.items():
         a_bytes[v] = k
-    # ids of a byte-level BPE are the ranks of its merges, and a rank encoder is several times faster on short words
+    # ids of a byte-level BPE are the ranks of its merges, and a rank encoder is several times faster on words
     ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
 
-    def encode_a(words: list[str]) -> list[list[int]]:
-        spaced = [" " + w for w in words]
-        if max(map(len, spaced), default=0) <= PLAIN:
-            return list(map(ranked.encode_ordinary, spaced))
-        return [ranked.encode_ordinary(w) if len(w) <= PLAIN else whole.encode_batch_fast([w], add_special_tokens=False)[0].ids for w in spaced]
+    def encode_a(text: str) -> list[int]:
+        # long runs of white space overflow the rank encoder's stack
+        return whole.encode_batch_fast([text], add_special_tokens=False)[0].ids if LONG_BLANK.search(text) else ranked.encode_ordinary(text)
 
     model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{b}")
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     if any(re.search("[^▁]▁", p) for p in pieces):
         raise ValueError("a piece goes over the end of a word")
     b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Pair(a_bytes, b_bytes, encode_a, lambda words: model.encode(words, num_threads=1))
+    return Pair(a_bytes, b_bytes, encode_a, model.encode)
 
 
-def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Number of the group of each A and each B token, and how many groups there are."""
-    joint = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    return np.searchsorted(joint, a_ends), np.searchsorted(joint, b_ends), len(joint)
+def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the group of each A and each B token, and where the groups end."""
+    mark = np.zeros(int(a_ends[-1]) + 1 if len(a_ends) else 1, dtype=bool)
+    mark[b_ends] = True
+    joint = a_ends[mark[a_ends]]
+    return np.searchsorted(joint, a_ends), np.searchsorted(joint, b_ends), joint
 
 
 def links_of(a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, n: int, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,82 +142,121 @@ def links_of(a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, n: in
     return np.concatenate(group), np.concatenate(pair), np.concatenate(mult)
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Words:
     """Words met so far: their tokens, groups and links, each found once. A word stands for blank + word."""
 
-    def __init__(self, pair: Pair, printed: bool):
-        self.tok, self.printed = pair, printed
-        self.sizes = pair.a_sizes, pair.b_sizes
-        self.names = [str(i) for i in range(max(len(pair.a_bytes), len(pair.b_bytes)))] if printed else []
+    def __init__(self, tok: Pair, printed: bool):
+        self.tok, self.printed = tok, printed
+        self.sizes = tok.a_sizes, tok.b_sizes
+        n = max(len(tok.a_bytes), len(tok.b_bytes))
+        #: an id as text with the mark that follows it
+        self.named = [b"%d%s" % (i, m) for m in (b",", b"|", b";") for i in range(n)] if printed else []
+        self.ids = n
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbered()
         self.chars = 0
         self.stats = np.zeros((0, 4), dtype=np.int64)  # n_a, n_b, n_groups, n_links
         self.whole = np.zeros(0, dtype=bool)
         self.text: list[bytes] = []
         self.begin = np.zeros(1, dtype=np.int64)
-        self.pair = np.zeros(0, dtype=np.int64)
+        self.known = Numbered()  # pairs
+        self.pairs = np.zeros(0, dtype=np.int64)
+        self.pair = np.zeros(0, dtype=np.int32)
         self.times = np.zeros(0, dtype=np.int64)
 
     def full(self) -> bool:
         return len(self.index) > CACHE or self.chars > CACHE_CHARS
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words; new ones are aligned."""
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+    def numbers(self, runs: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the words of each run; new words are aligned together."""
+        at = len(self.index)
+        found = [np.fromiter(map(self.index.__getitem__, run), dtype=np.int32, count=len(run)) for run in runs]
+        if len(self.index) > at:
+            self.add(list(itertools.islice(self.index, at, None)))
+        return found
 
     def add(self, words: list[str]) -> None:
-        at = len(self.index)
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        chunks, size = [[]], 0
+        for w in words:
+            size += len(w)
+            if size > CHUNK and chunks[-1]:
+                chunks.append([])
+                size = len(w)
+            chunks[-1].append(w)
+            if w[-1].isspace():  # the end of a text, whose blank would join the next word's
+                size = CHUNK
+        parts = [p for c in chunks if c for p in self.aligned(c)]
+        stats, whole, per, pair, times, text = zip(*parts, strict=True)
+        fresh = np.concatenate(pair)
+        kinds, kind = np.unique(fresh, return_inverse=True)
+        local = np.fromiter(map(self.known.__getitem__, kinds.tolist()), dtype=np.int32, count=len(kinds))
+        self.pairs = np.fromiter(self.known, dtype=np.int64, count=len(self.known))
         self.chars += sum(map(len, words))
-        raw = [b" " + w.encode() for w in words]
-        lists = self.tok.encode_a(words), self.tok.encode_b(words)
-        whole = np.array([
-            b"".join(map(self.tok.a_bytes.__getitem__, x)) == r and b"".join(map(self.tok.b_bytes.__getitem__, y)) == r
-            for r, x, y in zip(raw, *lists, strict=True)
-        ])
-        lists = [[x if ok else () for x, ok in zip(side, whole.tolist(), strict=True)] for side in lists]
-        n = [np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in lists]
-        a, b = (np.fromiter((t for x in side for t in x), dtype=np.int64, count=int(k.sum())) for side, k in zip(lists, n, strict=True))
-        # words lie end to end, and every word ends a group
-        ga, gb, groups = groups_of(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
-        word = np.zeros(groups, dtype=np.int64)
-        word[ga] = np.repeat(np.arange(len(words)), n[0])
+        self.stats = np.concatenate([self.stats, *stats])
+        self.whole = np.concatenate([self.whole, *whole])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(per))])
+        self.pair = np.concatenate([self.pair, local[kind]])
+        self.times = np.concatenate([self.times, *times])
+        for t in text:
+            self.text += t
+
+    def aligned(self, words: list[str]) -> list[tuple]:
+        """(stats, whole, links of each word, pair, times, text) of words that lie end to end."""
+        joined = " ".join(words)
+        raw = (" " + joined).encode()
+        ids = self.tok.encode_a(" " + joined), self.tok.encode_b(joined)
+        if any(b"".join(map(names.__getitem__, x)) != raw for names, x in zip((self.tok.a_bytes, self.tok.b_bytes), ids, strict=True)):
+            if len(words) > 1:
+                half = len(words) // 2
+                return self.aligned(words[:half]) + self.aligned(words[half:])
+            none = np.zeros(0, dtype=np.int64)
+            return [(np.zeros((1, 4), dtype=np.int64), np.zeros(1, dtype=bool), np.zeros(1, dtype=np.int64), none, none, [b""])]
+        a, b = (np.array(x, dtype=np.int64) for x in ids)
+        ga, gb, joint = groups_of(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
+        n, groups = len(words), len(joint)
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), dtype=np.int64, count=n))
+        word = np.searchsorted(ends, joint)
+        if not np.array_equal(joint[np.searchsorted(joint, ends)], ends):
+            raise RuntimeError("a token goes over the end of a word")
         group, pair, times = links_of(a, ga, b, gb, groups)
         owner = word[group]
         order = np.argsort(owner, kind="stable")
-        per = np.bincount(owner, minlength=len(words))
-        n_links = np.bincount(owner, weights=times, minlength=len(words)).astype(np.int64)
-        new = np.stack([n[0], n[1], np.bincount(word, minlength=len(words)), n_links], axis=1)
-        self.stats = np.concatenate([self.stats, new])
-        self.whole = np.concatenate([self.whole, whole])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(per)])
-        self.pair = np.concatenate([self.pair, pair[order]])
-        self.times = np.concatenate([self.times, times[order]])
-        if self.printed:
-            self.text += self._texts(lists, n, ga, gb, word, groups)
-
-    def _texts(self, lists: list, n: list[np.ndarray], ga: np.ndarray, gb: np.ndarray, word: np.ndarray, groups: int) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of each word."""
-        sides = []
-        for side, g in zip(lists, (ga, gb), strict=True):
-            named = [self.names[t] for x in side for t in x]
-            ends = np.cumsum(np.bincount(g, minlength=groups)).tolist()
-            sides.append([",".join(named[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)] if groups else [])
-        one = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-        ends = np.cumsum(np.bincount(word, minlength=len(n[0]))).tolist()
-        return [";".join(one[i:j]).encode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def links(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``words``, position among the links) of all links of the given words."""
-        size = self.begin[words + 1] - self.begin[words]
-        at = np.repeat(self.begin[words] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.repeat(np.arange(len(words)), size), at
+        n_links = np.bincount(owner, weights=times, minlength=n).astype(np.int64)
+        stats = np.stack([np.bincount(word[ga], minlength=n), np.bincount(word[gb], minlength=n), np.bincount(word, minlength=n), n_links], axis=1)
+        text = self.texts(a, ga, b, gb, word, n) if self.printed else []
+        return [(stats, np.ones(n, dtype=bool), np.bincount(owner, minlength=n), pair[order], times[order], text)]
+
+    def texts(self, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, word: np.ndarray, n: int) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3;`` of each word: the A ids of a group before its B ids."""
+        last = [np.append(g[1:] != g[:-1], True) for g in (ga, gb)]
+        order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
+        name = np.concatenate([a + self.ids * last[0], b + 2 * self.ids * last[1]])[order]
+        mine = np.concatenate([word[ga], word[gb]])[order]
+        named = [self.named[i] for i in name.tolist()]
+        ends = np.cumsum(np.bincount(mine, minlength=n)).tolist()
+        return [b"".join(named[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def links(self, words: np.ndarray) -> np.ndarray:
+        """Positions among the links of all links of the given words."""
+        first = self.begin[words]
+        size = self.begin[words + 1] - first
+        return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+@lru_cache(maxsize=2)
+def known_words(folder: str, printed: bool) -> Words:
+    """The words of this Python worker: tasks one after the other go on with them."""
+    return Words(tokenizers(folder), printed)
 
 
 def word_runs(text: str) -> Iterator[list[str]]:
@@ -239,55 +280,60 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i)
 
 
-def _words(texts: list[bytes | None], words: Words) -> tuple[list[int], list[np.ndarray]]:
-    """(number of the text, its words) in runs, in order; bytes that are not UTF-8 never come back, so they have none."""
-    docs, found = [], []
+def _documents(texts: list[bytes | None], words: Words) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the text, its words in runs) of every text that has any; bytes that are not UTF-8 never come back, so
+    they count as a text that does not. New words are aligned together, about ``SLICE`` characters of text at a time."""
+    waiting, held = [], 0
+
+    def flush() -> Iterator[tuple[int, list[np.ndarray]]]:
+        found = iter(words.numbers([run for _, runs in waiting for run in runs]))
+        for d, runs in waiting:
+            yield d, [next(found) for _ in runs]
+        waiting.clear()
+
     for d, raw in enumerate(texts):
         try:
             text = raw.decode() if raw else ""
         except UnicodeDecodeError:
             text = "▁"
-        for run in word_runs(text) if text else ():
-            docs.append(d)
-            found.append(words.ids(run))
-    return docs, found
+        if text:
+            waiting.append((d, list(word_runs(text))))
+            held += len(text)
+        if held > SLICE:
+            yield from flush()
+            held = 0
+    yield from flush()
 
 
 def _counted(folder: str):
     """First pass: (part, pair, n), n documents of a run of a task that hold the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizers(folder), printed=False)
+        words = known_words(folder, False)
         part = TaskContext.get().partitionId()
-        known: dict[int, int] = {}
-        counts = np.zeros(0, dtype=np.int64)
+        counts = stamp = np.zeros(0, dtype=np.int64)
 
         def counted() -> pa.RecordBatch:
-            pairs = np.fromiter(known, dtype=np.int64, count=len(known))
-            return pa.record_batch([pa.array(np.full(len(pairs), part, dtype=np.int32)), pa.array(pairs), pa.array(counts)], names=["part", "pair", "n"])
+            on = np.flatnonzero(counts)
+            return pa.record_batch([pa.array(np.full(len(on), part, dtype=np.int32)), pa.array(words.pairs[on]), pa.array(counts[on])], names=["part", "pair", "n"])
 
         for batch in _slices(batches):
-            docs, found = _words(batch.column("text").to_pylist(), words)
-            if not docs:
-                continue
-            doc = np.repeat(docs, [len(x) for x in found])
-            word = np.concatenate(found)
-            bad = np.unique(doc[~words.whole[word]])
-            keep = ~np.isin(doc, bad)
-            met = np.unique(doc[keep] * len(words.whole) + word[keep])
-            at, link = words.links(met % len(words.whole))
-            pairs, kind = np.unique(words.pair[link], return_inverse=True)
-            held = np.unique((met // len(words.whole))[at] * max(1, len(pairs)) + kind) % max(1, len(pairs))
-            for p in pairs.tolist():
-                known.setdefault(p, len(known))
-            slots = np.fromiter(map(known.__getitem__, pairs.tolist()), dtype=np.int64, count=len(pairs))
-            counts = np.concatenate([counts, np.zeros(len(known) - len(counts), dtype=np.int64)])
-            counts[slots] += np.bincount(held, minlength=len(pairs))
+            for _, runs in _documents(batch.column("text").to_pylist(), words):
+                if len(counts) < len(words.pairs):
+                    counts = np.concatenate([counts, np.zeros(len(words.pairs) - len(counts), dtype=np.int64)])
+                    stamp = np.zeros(len(counts), dtype=np.int64)
+                if not all(words.whole[w].all() for w in runs):
+                    continue
+                held = [words.pair[words.links(w)] for w in runs]
+                pair = np.concatenate(held) if len(held) > 1 else held[0]
+                # of equal pairs only the one that stamped last counts
+                place = np.arange(len(pair))
+                stamp[pair] = place
+                counts[pair[stamp[pair] == place]] += 1
             if words.full():
-                words.clear()
-            if len(known) > 1 << 20:
                 yield counted()
-                known, counts = {}, np.zeros(0, dtype=np.int64)
+                words.clear()
+                counts = stamp = np.zeros(0, dtype=np.int64)
         yield counted()
 
     return run
@@ -452,44 +498,47 @@ def _looked_up(folder: str, shared: Broadcast):
         table = shared.value
         phf = PerfectHash([(np.frombuffer(b, dtype="<u8"), np.frombuffer(s, dtype="<i4")) for b, s in table["shards"]])
         keys, held = table["keys"], table["held"]
-        words = Words(tokenizers(folder), printed=True)
-        sums = np.zeros((0, 2), dtype=np.int64)  # count_sum and n_best of each word
-        gaps = np.zeros(0, dtype=bool)
-        missing = np.zeros(0, dtype=bool)  # of each link
+        words = known_words(folder, True)
+        value, hit = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)  # of each pair
+        sums, gaps = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=bool)  # count_sum and n_best of each word, and whether a pair is missing
         row = TaskContext.get().partitionId() << 40
 
+        def look_up() -> None:
+            nonlocal value, hit, sums, gaps
+            pairs = words.pairs[len(value) :]
+            slot = phf.slots(pairs, shard_of(pairs, max(1, len(table["shards"]))))
+            found = slot >= 0
+            found[found] = keys[slot[found]] == pairs[found]
+            new = np.zeros(len(pairs), dtype=np.int64)
+            new[found] = held[slot[found]]
+            value, hit = np.concatenate([value, new]), np.concatenate([hit, found])
+            first = words.begin[len(sums)]
+            pair, times = words.pair[first:], words.times[first:]
+            run = np.cumsum(np.stack([(value[pair] >> 1) * times, (value[pair] & 1) * times, ~hit[pair]], axis=1), axis=0)
+            run = np.concatenate([np.zeros((1, 3), dtype=np.int64), run])
+            each = run[words.begin[len(sums) + 1 :] - first] - run[words.begin[len(sums) : -1] - first]
+            sums, gaps = np.concatenate([sums, each[:, :2]]), np.concatenate([gaps, each[:, 2] > 0])
+
         for batch in _slices(batches):
             texts = batch.column("text").to_pylist()
-            docs, found = _words(texts, words)
-            if len(words.whole) > len(sums):
-                at, link = words.links(np.arange(len(sums), len(words.whole)))
-                pair = words.pair[link]
-                slot = phf.slots(pair, shard_of(pair, max(1, len(table["shards"])))) if len(keys) else np.full(len(pair), -1)
-                hit = (slot >= 0) & (keys[slot] == pair) if len(keys) else slot >= 0
-                value = np.zeros(len(pair), dtype=np.int64)
-                value[hit] = held[slot[hit]]
-                new = np.zeros((len(words.whole) - len(sums), 2), dtype=np.int64)
-                np.add.at(new[:, 0], at, (value >> 1) * words.times[link])
-                np.add.at(new[:, 1], at, (value & 1) * words.times[link])
-                open_ = np.zeros(len(new), dtype=bool)
-                open_[at[~hit]] = True
-                sums, gaps, missing = np.concatenate([sums, new]), np.concatenate([gaps, open_]), np.concatenate([missing, ~hit])
             n = len(texts)
             stats = np.zeros((n, 6), dtype=np.int64)
-            digest, rest, group = [""] * n, [[] for _ in range(n)], {}
-            for d, w in zip(docs, found, strict=True):
-                group.setdefault(d, []).append(w)
-            for d, runs in group.items():
+            digest, rest = [""] * n, [[] for _ in range(n)]
+            for d, runs in _documents(texts, words):
+                if len(sums) < len(words.whole):
+                    look_up()
                 if not all(words.whole[w].all() for w in runs):
                     continue
                 hashed, left = hashlib.sha256(), []
                 for k, w in enumerate(runs):
-                    stats[d] += np.concatenate([words.stats[w].sum(axis=0), sums[w].sum(axis=0)])
-                    hashed.update((b";" if k else b"") + b";".join([words.text[i] for i in w.tolist()]))
+                    stats[d, :4] += words.stats[w].sum(axis=0)
+                    stats[d, 4:] += sums[w].sum(axis=0)
+                    text = b"".join(map(words.text.__getitem__, w.tolist()))
+                    hashed.update(text if k < len(runs) - 1 else text[:-1])
                     if gaps[w].any():
-                        _, link = words.links(w[gaps[w]])
-                        link = link[missing[link]]
-                        left.append(np.stack([words.pair[link], words.times[link]], axis=1))
+                        link = words.links(w[gaps[w]])
+                        link = link[~hit[words.pair[link]]]
+                        left.append(np.stack([words.pairs[words.pair[link]], words.times[link]], axis=1))
                 digest[d] = hashed.hexdigest()
                 if left:
                     pairs, which = np.unique(np.concatenate(left)[:, 0], return_inverse=True)
@@ -501,7 +550,7 @@ def _looked_up(folder: str, shared: Broadcast):
             yield pa.record_batch(cols, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "count_sum", "n_best", "groups_sha256", "row", "rest"])
             if words.full():
                 words.clear()
-                sums, gaps, missing = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+                value, hit, sums, gaps = value[:0], hit[:0], sums[:0], gaps[:0]
 
     return run
 

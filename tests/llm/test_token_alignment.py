@@ -105,8 +105,8 @@ def test_words_and_runs_change_no_token(monkeypatch, spark):
         if text:
             words = [w for run in T.word_runs(text) for w in run]
             assert " ".join(words) == text
-            assert [i for x in tok.encode_a(words) for i in x] == brute.a.encode(" " + text, add_special_tokens=False).ids
-            assert [i for x in tok.encode_b(words) for i in x] == brute.b.encode(text)
+            assert [i for w in words for i in tok.encode_a(" " + w)] == brute.a.encode(" " + text, add_special_tokens=False).ids
+            assert [i for w in words for i in tok.encode_b(w)] == brute.b.encode(text)
 
 
 def test_small_caches_change_nothing(spark, brute, monkeypatch):
@@ -115,6 +115,8 @@ def test_small_caches_change_nothing(spark, brute, monkeypatch):
     texts = corpus(spark)[:120]
     monkeypatch.setattr(T, "CACHE", 50)
     monkeypatch.setattr(T, "SLICE", 3000)
+    monkeypatch.setattr(T, "CHUNK", 60)
+    T.known_words.cache_clear()
     monkeypatch.setattr(TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 3})())
     import pyarrow as pa
 
