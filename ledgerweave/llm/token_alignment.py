@@ -47,7 +47,7 @@ TOKENIZERS = "/opt/tokenizers"
 SHARD = 1 << 15
 FAN = 16
 TABLE = 1 << 21
-CACHE = 3 << 18
+CACHE = 3 << 17
 CACHE_CHARS = 1 << 25
 SLICE = 4 << 20
 RUN = 1 << 20
@@ -83,15 +83,22 @@ class Pair:
         return np.array([len(x) for x in self.b_bytes], dtype=np.int64)
 
 
+@lru_cache(maxsize=2)
+def merging(path: str):
+    """A byte-level BPE by its merges; slower on words than ``ranked`` below, which is used where it can be."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 @lru_cache(maxsize=2)
 def tokenizers(folder: str = TOKENIZERS, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> Pair:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(f"{folder}/{a}")
-    whole.encode_special_tokens = True
     with open(f"{folder}/{a}") as f:
         spec = json.load(f)
     special = {t["id"] for t in spec["added_tokens"]}
@@ -105,7 +112,7 @@ def tokenizers(folder: str = TOKENIZERS, a: str = "byte_bpe_50k.json", b: str =
 
     def encode_a(text: str) -> list[int]:
         # long runs of white space overflow the rank encoder's stack
-        return whole.encode_batch_fast([text], add_special_tokens=False)[0].ids if LONG_BLANK.search(text) else ranked.encode_ordinary(text)
+        return merging(f"{folder}/{a}").encode_batch_fast([text], add_special_tokens=False)[0].ids if LONG_BLANK.search(text) else ranked.encode_ordinary(text)
 
     model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{b}")
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
@@ -253,7 +260,7 @@ class Words:
         return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def known_words(folder: str, printed: bool) -> Words:
     """The words of this Python worker: tasks one after the other go on with them."""
     return Words(tokenizers(folder), printed)
