@@ -47,9 +47,10 @@ TOKENIZERS = "/opt/tokenizers"
 SHARD = 1 << 15
 FAN = 16
 TABLE = 1 << 21
-CACHE = 3 << 17
+CACHE = 1 << 17
 CACHE_CHARS = 1 << 25
-SLICE = 4 << 20
+PAIRS = 1 << 20
+SLICE = 2 << 20
 RUN = 1 << 20
 CHUNK = 1 << 16
 LONG_BLANK = re.compile(r"\s{500}")
@@ -174,6 +175,7 @@ class Words:
         self.chars = 0
         self.stats = np.zeros((0, 4), dtype=np.int64)  # n_a, n_b, n_groups, n_links
         self.whole = np.zeros(0, dtype=bool)
+        self.used = np.zeros(0, dtype=np.int64)
         self.text: list[bytes] = []
         self.begin = np.zeros(1, dtype=np.int64)
         self.known = Numbered()  # pairs
@@ -184,12 +186,31 @@ class Words:
     def full(self) -> bool:
         return len(self.index) > CACHE or self.chars > CACHE_CHARS
 
+    def crowded(self) -> bool:
+        return len(self.known) > PAIRS
+
+    def thin(self) -> np.ndarray:
+        """Keeps the quarter of ``CACHE`` that was met most often, but no long words; returns their old numbers."""
+        short = np.fromiter(map(len, self.index), dtype=np.int64, count=len(self.index)) < 256
+        most = np.lexsort((-self.used, ~short))[: CACHE // 4]
+        keep = np.sort(most[short[most] & (self.used[most] > 1)])
+        link, size = self.links(keep), np.diff(self.begin)[keep]
+        names = list(self.index)
+        self.index = Numbered(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        self.chars = sum(map(len, self.index))
+        self.stats, self.whole, self.used, self.pair, self.times = self.stats[keep], self.whole[keep], self.used[keep], self.pair[link], self.times[link]
+        self.begin = np.concatenate([[0], np.cumsum(size)])
+        self.text = [self.text[i] for i in keep.tolist()] if self.printed else []
+        return keep
+
     def numbers(self, runs: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the words of each run; new words are aligned together."""
         at = len(self.index)
         found = [np.fromiter(map(self.index.__getitem__, run), dtype=np.int32, count=len(run)) for run in runs]
         if len(self.index) > at:
             self.add(list(itertools.islice(self.index, at, None)))
+        if found:
+            self.used += np.bincount(np.concatenate(found), minlength=len(self.used))
         return found
 
     def add(self, words: list[str]) -> None:
@@ -211,6 +232,7 @@ class Words:
         self.chars += sum(map(len, words))
         self.stats = np.concatenate([self.stats, *stats])
         self.whole = np.concatenate([self.whole, *whole])
+        self.used = np.concatenate([self.used, np.zeros(len(words), dtype=np.int64)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(per))])
         self.pair = np.concatenate([self.pair, local[kind]])
         self.times = np.concatenate([self.times, *times])
@@ -337,10 +359,12 @@ def _counted(folder: str):
                 place = np.arange(len(pair))
                 stamp[pair] = place
                 counts[pair[stamp[pair] == place]] += 1
-            if words.full():
+            if words.crowded():
                 yield counted()
                 words.clear()
                 counts = stamp = np.zeros(0, dtype=np.int64)
+            elif words.full():
+                words.thin()
         yield counted()
 
     return run
@@ -555,9 +579,12 @@ def _looked_up(folder: str, shared: Broadcast):
             cols += [pa.array(np.arange(row, row + n)), pa.array(rest, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))]
             row += n
             yield pa.record_batch(cols, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "count_sum", "n_best", "groups_sha256", "row", "rest"])
-            if words.full():
+            if words.crowded():
                 words.clear()
                 value, hit, sums, gaps = value[:0], hit[:0], sums[:0], gaps[:0]
+            elif words.full():
+                keep = words.thin()
+                sums, gaps = sums[keep], gaps[keep]
 
     return run
 

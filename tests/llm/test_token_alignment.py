@@ -109,13 +109,15 @@ def test_words_and_runs_change_no_token(monkeypatch, spark):
             assert [i for w in words for i in tok.encode_b(w)] == brute.b.encode(text)
 
 
-def test_small_caches_change_nothing(spark, brute, monkeypatch):
+@pytest.mark.parametrize("pairs", [T.PAIRS, 40])
+def test_small_caches_change_nothing(spark, brute, monkeypatch, pairs):
     from pyspark import TaskContext
 
     texts = corpus(spark)[:120]
     monkeypatch.setattr(T, "CACHE", 50)
     monkeypatch.setattr(T, "SLICE", 3000)
     monkeypatch.setattr(T, "CHUNK", 60)
+    monkeypatch.setattr(T, "PAIRS", pairs)
     T.known_words.cache_clear()
     monkeypatch.setattr(TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 3})())
     import pyarrow as pa
