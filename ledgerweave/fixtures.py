@@ -39,9 +39,10 @@ VIEWS = {
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
     "f_run": """
         SELECT event_id AS IDRun, ts AS run_at, CAST(floor(value * 1000) AS INT) AS duration_ms, CAST(event_id % 4 AS INT) AS page_count,
-               CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+               CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
                CAST(event_id % 9 AS BIGINT) AS valid_count, CAST(event_id % 3 AS BIGINT) AS low_conf_count,
-               CAST(event_id % 2 AS BIGINT) AS price_mismatch_count, CAST(event_id % 5 AS BIGINT) AS unknown_count
+               CAST(event_id % 2 AS BIGINT) AS price_mismatch_count, CAST(event_id % 5 AS BIGINT) AS unknown_count,
+               CAST(event_id % 9 + event_id % 3 + event_id % 2 + event_id % 5 + event_id % 4 AS BIGINT) AS line_count
         FROM {events}""",
     "f_log": """
         SELECT event_id AS log_id, ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS level,

@@ -28,12 +28,14 @@ def _parts(c: Column) -> tuple[Column, Column, Column]:
 
 
 def validated_date(c: Column, as_of: Column) -> Column:
-    """D3: dd/MM/yyyy of a day-month-year text; swapped day and month set right; impossible or future years null."""
+    """D3: dd/MM/yyyy of a day-month-year text; a date that does not exist or lies after next year is null. A swapped day
+    and month are set right as they are written, whatever their year."""
     d, m, y = _parts(c)
-    swap = (m > 12) & (d <= 12)
-    day, month = F.when(swap, m).otherwise(d), F.when(swap, d).otherwise(m)
-    ok = (day.between(1, 31)) & (month.between(1, 12)) & (y <= F.year(as_of))
-    return F.when(ok, F.format_string("%02d/%02d/%d", day, month, y))
+    shape = r"^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})\s*$"
+    swapped = F.when((m > 12) & (d <= 12), F.regexp_replace(c, shape, "$2/$1/$3"))
+    real = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    ok = (d <= 31) & (m <= 12) & real.isNotNull() & (y <= F.year(as_of) + 1)
+    return F.when(d <= 31, F.coalesce(swapped, F.when(ok, F.format_string("%02d/%02d/%d", d, m, y))))
 
 
 def checked_expiry(c: Column) -> Column:

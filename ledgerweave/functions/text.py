@@ -134,8 +134,13 @@ def is_order(doc_type: Column, family: Column) -> Column:
     return F.contains(f, F.lit("bc_")) | F.contains(f, F.lit("bon")) | F.regexp_like(t, F.lit("bon de commande|bon commande|bc"))
 
 
+#: What no company name holds.
+NOT_COMPANY = r"https?://|www\.|stat\s+ventes|statistiques|proforma\s*n[°o]|mdn-pre|mdn-prf|bon\s+de\s+commande\s+n|^\s*(page|cer)\s"
+
+
 def is_company_name(c: Column) -> Column:
-    """F8: 3 to 120 characters, mostly letters, no heading or total word in front."""
+    """F8: three letters at least and a quarter of all characters; no web address, statistics or order heading, and no page
+    mark in front."""
     t = stripped(c)
     letters = F.length(F.regexp_replace(t, r"(?U)[^\p{L}]", ""))
-    return F.length(t).between(3, 120) & (letters >= F.length(t) * 0.5) & ~F.regexp_like(t, F.lit(r"(?i)^(total|date|page|tel|fax|m\.?f|code)\b"))
+    return (letters >= F.greatest(F.lit(3.0), F.length(t) * 0.25)) & ~F.regexp_like(F.lower(t), F.lit(NOT_COMPANY))

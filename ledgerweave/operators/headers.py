@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import codes, numbers, text
+from ledgerweave.functions import codes, dates, numbers, text
+from ledgerweave.functions.fuzzy import fuzzy_type
 
+#: Headings of an order or invoice.
 HEADING = r"(?i)bon\s+de\s+commande|proforma|commande\b|facture"
 #: Words that mark a company name.
 COMPANY_WORDS = (
@@ -17,6 +19,7 @@ COMPANY = rf"(?iu)\b({COMPANY_WORDS})\b"
 #: Openings that no company name or address has, and words of an address.
 NOT_COMPANY = r"(?i)^(route|rue|avenue|av\.|bd\.|date|tel|fax|m\.f|r\.c|page|code|email|sfax|tunis|nabeul|sousse|edite|prepare|medis\b)"
 ADDRESS = r"(?i)\b(route|rue|avenue|bd|boulevard|cit[eé]|zone\s+ind|lotissement|impasse|r[eé]sidence|quartier|km\s*\d)\b"
+#: Openings that no address has, the form of a tax id, and of an amount.
 NOT_ADDRESS = r"(?i)^(tel|t[eé]l|fax|m\.?f|r\.?c|sfax|tunis|nabeul|sousse|date|page|code|email|bon\s+de|facture|proforma|commande|medis|pharma|laboratoire)"
 TAX_ID = r"(?i)(?:m\.?\s*f\.?\s*[:\-]\s*)?([0-9A-Z]{6,}[/\\|\s\-]*[A-Z][/\\|\s\-]*[A-Z][/\\|\s\-]*[A-Z][/\\|\s\-]*[0-9]{3,4})\b"
 AMOUNT = r"(\d[\d\s]*[,.]\d{2,3}|\d{4,})"
@@ -127,8 +130,62 @@ def zones(lines: DataFrame, doc: str) -> DataFrame:
     return own.withColumn("zone", zone).drop("__head", "__back", "__foot")
 
 
-def field_scores(heads: DataFrame) -> DataFrame:
-    """Confidence of header fields by their form, and the fields below 0.55."""
-    form = {"numero": r"\d{2,}", "date": r"^\d{2}[/\-.]\d{2}[/\-.]\d{4}$", "supplier_mf": r"^\d{6,8}[A-Z]/[A-Z]/[A-Z]/\d{3}$", "fournisseur_nom": r"[A-Za-z]{3,}"}
-    scores = F.map_from_arrays(F.array(*map(F.lit, form)), F.array(*[F.when(F.col(k).isNull(), 0.0).when(like(F.col(k), p), 0.9).otherwise(0.5) for k, p in form.items()]))
-    return heads.withColumn("scores", scores).withColumn("ambiguous", F.map_keys(F.map_filter("scores", lambda _, v: v < 0.55)))
+#: Forms of a document number with their score.
+NUMBER_FORMS = ((r"(?i)^(BCN|BCM|FAC|PRO|CMD|INV)[\-/]\w{2}[\-/]\d{4}$", 0.97), (r"^[A-Z]{2,8}-[A-Z]{2,8}-\d{4,12}$", 0.95), (r"^\d{3,6}/\d{4}$", 0.90))
+TAX_ID_FORM, EMAIL_FORM = r"^\d{6,8}[A-Z]/[A-Z]/[A-Z]/\d{3}$", r"^[\w\.\-]+@[\w\.\-]+\.\w{2,6}$"
+AMOUNTS, TAX_IDS, AMBIGUOUS = ("total_ht", "tva", "total_ttc", "total_brut_ht", "transport", "timbre_fiscal"), ("supplier_mf", "client_mf", "matricule_fiscal"), 0.55
+
+
+def scored_fields(heads: DataFrame, body: str, as_of: Column) -> DataFrame:
+    """Header fields made better where their form allows it, with ``scores`` (a map), ``warnings`` and the
+    ``ambiguous`` fields, those below 0.55. ``body`` is the column of the document's text, which decides its type with the
+    given ``type``; a column that is not among the known ones scores 0.70."""
+
+    def held(c: str) -> Column:
+        return text.stripped(F.col(c).cast("string")) != ""
+
+    have = [c for c in heads.columns if c not in (body, "type")]
+    out = heads.withColumn("__kind", fuzzy_type(F.coalesce(F.col(body), F.lit(""))))
+    given = F.coalesce(F.col("type"), F.lit("Document")) if "type" in heads.columns else F.lit("Document")
+    kind, sure = F.col("__kind.type"), F.col("__kind.score")
+    scores = {"type": F.when((given != "Document") & (kind == given) | (given == "Document") & (kind == "Document"), F.greatest(sure, F.lit(0.90))).otherwise(sure)}
+    new = {"type": F.when((kind != "Document") & ((given == "Document") | (kind != given) & (sure > 0.80)), kind).otherwise(given)}
+    warnings = []
+    if "date" in have:
+        read = F.when(held("date"), F.col("date"))
+        good = dates.validated_date(read, as_of)
+        scores["date"] = F.when(read.isNull(), 0.0).when(good.isNull(), 0.30).when(good != read, 0.92).otherwise(0.95)
+        warnings += [F.when(good != read, F.format_string("Date corrected: '%s' \u2192 '%s'", read, good)), F.when(read.isNotNull() & good.isNull(), F.format_string("Date: '%s'", read))]
+        new["date"] = F.coalesce(good, F.col("date"))
+    for c in AMOUNTS:
+        if c in have:
+            scores[c] = F.when(F.col(c).isNotNull(), 0.90).otherwise(0.0)
+    if "numero" in have:
+        form = F.when(~held("numero"), 0.0)
+        for pattern, s in NUMBER_FORMS:
+            form = form.when(like(F.col("numero"), pattern), s)
+        scores["numero"] = form.otherwise(0.70)
+    for c in TAX_IDS:
+        if c in have:
+            odd = held(c) & ~like(F.col(c), TAX_ID_FORM)
+            scores[c] = F.when(~held(c), 0.0).when(odd, 0.55).otherwise(0.98)
+            warnings.append(F.when(odd, F.format_string("%s unusual: '%s'", F.lit(c), F.col(c))))
+    if "tel" in have:
+        digits = F.length(F.regexp_replace("tel", r"\D", ""))
+        scores["tel"] = F.when(~held("tel"), 0.0).when(digits == 8, 0.95).when(digits.isin(10, 11), 0.80).otherwise(0.50)
+    if "email" in have:
+        scores["email"] = F.when(~held("email"), 0.70).when(like(F.col("email"), EMAIL_FORM), 0.97).otherwise(0.50)
+    if "adresse" in have:
+        scores["adresse"] = F.when(held("adresse"), 0.75).otherwise(0.70)
+    scores |= {c: F.lit(0.70) for c in have if c not in scores}
+    # a null score is one of a null field that no form was read from
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("value")) for k, c in scores.items()])
+    out = out.withColumns({"scores": F.map_from_entries(entries), "warnings": F.array_compact(F.array(F.lit(None).cast("string"), *warnings))})
+    out = out.withColumn("ambiguous", F.map_keys(F.map_filter("scores", lambda _, v: v < AMBIGUOUS)))
+    return out.withColumns(new).drop("__kind")
+
+
+def unresolved_lines(lines: DataFrame) -> DataFrame:
+    """lines with a code but no quantity whose designation holds digits or a date."""
+    shown = like(F.coalesce("designation", F.lit("")), r"\d{2,5}|[0-9OIlS]{2}[/\-.][0-9OIlS]{2}[/\-.][0-9OIlS]{4}")
+    return lines.where((F.coalesce("code", F.lit("")) != "") & (F.coalesce("quantite", F.lit("")) == "") & shown)

@@ -22,11 +22,11 @@ def status_counts(lines: DataFrame, key: str = "invoice_id") -> DataFrame:
 
 
 def invoice_status(open_alerts: Column | None = None) -> Column:
-    """A2."""
-    wrong = (F.col("n_price_mismatch") > 0) | (F.col("n_unknown_product") > 0)
+    """A2: open alerts or price gaps first, then lines of low confidence or of unknown products; unchecked lines hold nothing up."""
+    wrong = F.col("n_price_mismatch") > 0
     if open_alerts is not None:
         wrong = wrong | (open_alerts > 0)
-    return F.when(wrong, "DISCREPANCY").when((F.col("n_low_confidence") > 0) | (F.col("n_unchecked") > 0), "NEEDS_REVIEW").otherwise("VALIDATED")
+    return F.when(wrong, "DISCREPANCY").when((F.col("n_low_confidence") > 0) | (F.col("n_unknown_product") > 0), "NEEDS_REVIEW").otherwise("VALIDATED")
 
 
 def with_status(counts: DataFrame) -> DataFrame:

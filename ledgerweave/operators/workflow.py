@@ -9,7 +9,7 @@ from ledgerweave.functions import numbers
 from ledgerweave.operators.reconcile import Settings
 
 #: Allowed moves of the workflow.
-MOVES = {None: ("pending",), "pending": ("held", "posted"), "held": ("pending", "posted"), "posted": ()}
+MOVES = {None: ("pending",), "pending": ("held", "posted"), "held": ("pending", "held", "posted"), "posted": ()}
 ACTIVE = ("pending", "held")
 
 
@@ -74,11 +74,12 @@ def posted_tables(heads: DataFrame, lines: DataFrame, articles: DataFrame, alrea
     """Facture, lignefac, alert and metadata rows of invoices not posted yet.
 
     Ids come from a hash of the invoice key, so a rerun of the same batch makes the same rows; the metadata row is the
-    commit marker and is written last.
+    commit marker and is written last. ``articles`` is the article dimension (``reconcile.articles``).
     """
-    todo = heads.join(already.select("lib_facture"), "lib_facture", "left_anti").withColumn("IDFacture", F.abs(F.xxhash64("lib_facture")))
+    todo = heads.join(already.select("lib_facture"), "lib_facture", "left_anti").withColumn("IDFacture", F.shiftrightunsigned(F.xxhash64("lib_facture"), 1))
     own = lines.join(todo.select("invoice_id", "IDFacture"), "invoice_id")
-    filled = own.join(articles.select(F.col("Code").alias("__code"), F.col("IDArticle").alias("__id")), F.col("code") == F.col("__code"), "left")
+    # one article for each code, so a line is posted once however often its code is in the table
+    filled = own.join(articles.select(F.col("key").alias("__code"), F.col("a.IDArticle").alias("__id")), F.upper("code") == F.col("__code"), "left")
     qty, price = F.col("qty").cast("decimal(12,3)"), F.coalesce("display_price", F.lit(0.0)).cast("decimal(12,3)")
     ligne = filled.select(
         "IDFacture", F.row_number().over(Window.partitionBy("IDFacture").orderBy("line_no")).alias("Ordre"), F.coalesce(F.nullif(F.col("id_article"), F.lit(0)), "__id", F.lit(0)).alias("IDArticle"),

@@ -44,7 +44,7 @@ def st2(spark, sf_dir):
 
 @query(
     "st5_workflow_stream",
-    f"""SELECT submission_id, arg_max(state, event_id) AS state, count(*) AS n_events, count(*) FILTER (NOT ((before IS NULL AND state = 'pending') OR coalesce((before = 'pending' AND state IN ('held', 'posted')) OR (before = 'held' AND state IN ('pending', 'posted')), false))) AS n_illegal
+    f"""SELECT submission_id, arg_max(state, event_id) AS state, count(*) AS n_events, count(*) FILTER (NOT ((before IS NULL AND state = 'pending') OR coalesce((before = 'pending' AND state IN ('held', 'posted')) OR (before = 'held' AND state IN ('pending', 'held', 'posted')), false))) AS n_illegal
 FROM (SELECT *, lag(state) OVER (PARTITION BY submission_id ORDER BY event_at, event_id) AS before FROM {EVENTS.format(events='events')}) GROUP BY submission_id""",
 )
 def st5(spark, sf_dir):

@@ -64,8 +64,8 @@ def r2(spark, sf_dir):
     JUDGED + """
 SELECT invoice_id, count(*) AS n_lines, count(*) FILTER (status = 'VALID') AS n_valid, count(*) FILTER (status = 'LOW_CONFIDENCE') AS n_low_confidence,
        count(*) FILTER (status = 'PRICE_MISMATCH') AS n_price_mismatch, count(*) FILTER (status = 'UNKNOWN_PRODUCT') AS n_unknown_product, CAST(0 AS BIGINT) AS n_unchecked,
-       CASE WHEN count(*) FILTER (status IN ('PRICE_MISMATCH', 'UNKNOWN_PRODUCT')) > 0 THEN 'DISCREPANCY'
-            WHEN count(*) FILTER (status = 'LOW_CONFIDENCE') > 0 THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END AS invoice_status
+       CASE WHEN count(*) FILTER (status = 'PRICE_MISMATCH') > 0 THEN 'DISCREPANCY'
+            WHEN count(*) FILTER (status IN ('LOW_CONFIDENCE', 'UNKNOWN_PRODUCT')) > 0 THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END AS invoice_status
 FROM rec GROUP BY invoice_id""",
 )
 def a2(spark, sf_dir):

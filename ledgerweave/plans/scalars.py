@@ -64,15 +64,19 @@ def c4(spark, sf_dir):
     return own.select("event_id", text.json_between_braces(reply).alias("span"))
 
 
+NAMES = """SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN p_name WHEN 1 THEN 'Total ' || p_name WHEN 2 THEN p_name || repeat('0', p_partkey % 120) WHEN 3 THEN 'Bon de  commande n° ' || p_name WHEN 4 THEN 'see WWW.' || p_name
+    WHEN 5 THEN 'Page ' || p_name WHEN 6 THEN 'Pages ' || p_name WHEN 7 THEN ' x' || CAST(p_partkey % 100 AS STRING) WHEN 8 THEN repeat(p_name || ' ', 9) ELSE 'MDN-PRE ' || p_name END AS name FROM {part}"""
+
+
 @query(
     "f8_company_names",
-    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN length(p_name) >= length(CAST(p_partkey AS STRING)) + 19 + 2 * (length(p_name) - length(replace(p_name, ' ', ''))) ELSE length(p_name) * 5 <= 120 END AS is_name FROM part""",
+    f"""WITH n AS ({NAMES.format(part="part")}), t AS (SELECT p_partkey, trim(name) AS s, length(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS letters FROM n)
+SELECT p_partkey, length(s) >= 3 AND letters >= greatest(3, length(s) * 0.25) AND NOT regexp_matches(lower(s), 'https?://|www\\.|stat\\s+ventes|statistiques') AND NOT regexp_matches(lower(s), 'proforma\\s*n[°o]|mdn-pre|mdn-prf|bon\\s+de\\s+commande\\s+n')
+  AND NOT regexp_matches(lower(s), '^\\s*(page|cer)\\s') AS is_name FROM t""",
 )
 def f8(spark, sf_dir):
-    """F8: part names as they are, after a total, with a long number behind them, and five times over."""
-    own, k = frame(spark, sf_dir, "part"), F.col("p_partkey") % 4
-    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("Total "), "p_name")).when(k == 2, F.concat("p_name", F.lit(" "), F.lit("0" * 18), F.col("p_partkey").cast("string"))).otherwise(F.repeat("p_name", F.lit(5)))
-    return own.select("p_partkey", text.is_company_name(name).alias("is_name"))
+    """F8: part names as they are, behind headings and web marks, among digits, too short, and very long."""
+    return spark.sql(NAMES, part=frame(spark, sf_dir, "part")).select("p_partkey", text.is_company_name(F.col("name")).alias("is_name"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.fixtures import ctes, frame
 from ledgerweave.operators import workflow as W
-from ledgerweave.operators.reconcile import Settings
+from ledgerweave.operators.reconcile import Settings, articles
 from ledgerweave.plans.reconciliation import JUDGED, reconciled
 from ledgerweave.registry import query
 
@@ -27,7 +27,7 @@ def w6(spark, sf_dir):
 
 @query(
     "r8_judged_moves",
-    f"""SELECT event_id, submission_id, state, before, (before IS NULL AND state = 'pending') OR coalesce((before = 'pending' AND state IN ('held', 'posted')) OR (before = 'held' AND state IN ('pending', 'posted')), false) AS legal
+    f"""SELECT event_id, submission_id, state, before, (before IS NULL AND state = 'pending') OR coalesce((before = 'pending' AND state IN ('held', 'posted')) OR (before = 'held' AND state IN ('pending', 'held', 'posted')), false) AS legal
 FROM (SELECT *, lag(state) OVER (PARTITION BY submission_id ORDER BY event_at, event_id) AS before FROM {EVENTS.format(events='events')})""",
 )
 def r8(spark, sf_dir):
@@ -83,7 +83,7 @@ fac AS (SELECT i.LibFacture AS lib_facture, coalesce(n_mismatch, 0) AS nm, ms, C
 def _posting(spark, sf_dir):
     inv = frame(spark, sf_dir, "f_invoice")
     heads = inv.select("invoice_id", F.col("LibFacture").alias("lib_facture"), F.when(F.col("invoice_id") % 2 == 0, F.col("TotalHT").cast("double")).otherwise(0.0).alias("stated_total"))
-    return W.posted_tables(heads, reconciled(spark, sf_dir), frame(spark, sf_dir, "f_article"), heads.where("invoice_id % 10 = 0"))
+    return W.posted_tables(heads, reconciled(spark, sf_dir), articles(frame(spark, sf_dir, "f_article")), heads.where("invoice_id % 10 = 0"))
 
 
 @query(
@@ -137,7 +137,7 @@ def r7_states(spark, sf_dir):
     s = frame(spark, sf_dir, "f_submission").withColumn("invoice_id", F.col("submission_id"))
     s = s.withColumn("stated_total", F.when(F.col("submission_id") % 2 == 0, F.col("total_ht").cast("double")).otherwise(0.0))
     ok, _ = W.approval(Settings(), F.col("submission_id") % 6 == 0)
-    _, events = W.approved_batch(s, ok, reconciled(spark, sf_dir), frame(spark, sf_dir, "f_article"), s.where("workflow_status = 'posted'"))
+    _, events = W.approved_batch(s, ok, reconciled(spark, sf_dir), articles(frame(spark, sf_dir, "f_article")), s.where("workflow_status = 'posted'"))
     after = s.select("submission_id", "workflow_status").join(events.select("submission_id", "state", "TotalHT"), "submission_id", "left")
     return after.select("submission_id", F.coalesce("state", "workflow_status").alias("state"), F.col("TotalHT").cast("double").alias("posted_ht"))
 
