@@ -106,7 +106,7 @@ def test_words_and_runs_change_no_token(monkeypatch, spark):
             words = [w for run in T.word_runs(text) for w in run]
             assert " ".join(words) == text
             assert [i for w in words for i in tok.encode_a(" " + w)] == brute.a.encode(" " + text, add_special_tokens=False).ids
-            assert [i for w in words for i in tok.encode_b(w)] == brute.b.encode(text)
+            assert [i for x in tok.encode_b(words) for i in x] == brute.b.encode(text)
 
 
 @pytest.mark.parametrize("pairs", [T.PAIRS, 40])
@@ -117,6 +117,7 @@ def test_small_caches_change_nothing(spark, brute, monkeypatch, pairs):
     monkeypatch.setattr(T, "CACHE", 50)
     monkeypatch.setattr(T, "SLICE", 3000)
     monkeypatch.setattr(T, "CHUNK", 60)
+    monkeypatch.setattr(T, "RUN_WORDS", 3)
     monkeypatch.setattr(T, "PAIRS", pairs)
     T.known_words.cache_clear()
     monkeypatch.setattr(TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 3})())
