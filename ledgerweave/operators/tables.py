@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import codes, dates, text
-
-#: Header words of each output column.
-HEADER_WORDS = {
-    "code_pct": ("code pct", "pct", "code produit", "code", "ref"), "code_article": ("code article", "article code", "ref article", "code frs"),
-    "designation": ("designation", "libelle", "article", "produit"), "quantite": ("qte", "qty", "quantite", "quantity", "qte cmde", "quantite commande"),
-    "prix_unitaire": ("prix unitaire", "pu", "prix", "unit price"), "montant": ("montant", "mt", "prix total", "amount"), "date": ("date p", "date peremption", "date exp"),
+from ledgerweave.functions import codes, dates, numbers, text
+from ledgerweave.operators import provenance as V
+from ledgerweave.operators.lines import plausible_in_document
+from ledgerweave.sources.scratch import materialised
+
+#: Each table column with the kind of its cells, the field it fills and the headers it goes by.
+COLUMNS = {
+    "code_pct": ("code", "code_pct", ("code pct", "code ptc", "pct", "code produit", "code", "code article local", "no article", "ref")),
+    "code_article": ("code", "code_article", ("code article", "article code", "ref article", "reference article", "code frs", "code fourn")),
+    "designation": ("text", "designation", ("designation", "designation article", "designation produit", "libelle", "article", "produit", "desig")),
+    "unit": ("unit", "unite", ("un", "u", "unite", "unit", "u n", "conditionnement", "cond")),
+    "quantity": ("integer", "quantite", ("qte", "qty", "quantite", "quantity", "qte cmde", "qtecmde", "qte commande", "qte ord", "quantite commande", "quantite commandee")),
+    "nb_crt": ("integer", "nb_crt", ("nb crt", "nombre cartons", "nb carton", "nbre crt", "nbcrt")),
+    "unit_price": ("money", "prix_unitaire", ("prix unitaire", "p u", "prix u", "pu", "unit price", "prix", "pu ht")),
+    "amount": ("money", "montant", ("montant", "mt", "total ligne", "amount", "prix total", "montant ht", "mnt")),
+    "date": ("date", "date_peremption", ("date p", "date peremption", "date limite", "dluo", "date exp", "expiry", "peremption")),
+    "u_crt": ("integer", "u_crt", ("u crt", "unite carton", "unites par carton", "ucrt")),
+    "promotion": ("text", "promotion", ("promotion", "promo")),
 }
+KINDS = ("code", "text", "unit", "integer", "money", "date")
+LEAST_HEADER, LEAST_CELL, LEAST_CODE, SAMPLES = 0.42, 0.72, 0.55, 4
 
 
 def header_label(c: Column) -> Column:
@@ -37,60 +50,146 @@ def cell_score(value: Column, kind: Column) -> Column:
     fit = (
         F.when(kind == "code", F.when(like(r"(?i)^([A-Z]{2,4}\d{2,12}|\d{4,6})$"), 1.0).when(like(r"^\d{5,8}$"), 0.95).otherwise(0.2))
         .when(kind == "integer", F.when(like(r"^\d{1,6}$"), 1.0).when(number, 0.3).otherwise(0.0)).when(kind == "money", F.when(like(r"^\d[\d\s]*[,.]\d{2,3}$"), 1.0).when(number, 0.5).otherwise(0.0))
-        .when(kind == "date", dates.is_date_like(v).cast("double")).otherwise(F.when(like("[A-Za-z]{3,}"), 1.0).otherwise(0.2))
+        .when(kind == "date", dates.is_date_like(v).cast("double")).when(kind == "unit", F.when(like("^[A-Za-z]{1,5}$"), 0.9).otherwise(0.2)).otherwise(F.when(like("[A-Za-z]{3,}"), 1.0).otherwise(0.2))
     )
     return F.when(v == "", 0.0).otherwise(fit)
 
 
-def mapped_headers(cells: DataFrame, keys: list[str], least: float = 0.42) -> DataFrame:
-    """One column name for each header cell and one cell for each name.
+def mapped_headers(cells: DataFrame, keys: list[str], expected: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, col_idx, name, score) of the header cells (row 0) that name a column.
 
-    Scores against the fixed header words need no join. The greedy choice (best pair first, then the best of what is
-    left) is made by rounds of "best for both sides", which picks the same pairs; a table has few columns, so a fixed
-    number of rounds settles it inside one row.
+    A header scores by its words, by how the cells of the first four rows below fit the kind of the column, and by its
+    place among the ``expected`` columns of a vendor, if given. From left to right each header takes the best of its
+    four best columns that is still free and scores 0.42 or more. Scores are plain columns, the choice is a fold over
+    the headers of one table; nothing is joined with the list of columns.
     """
-    label = header_label(F.col("text"))
-    names = list(HEADER_WORDS)
-    scores = [F.struct(F.array_max(F.array(*[header_score(label, F.lit(w)) for w in HEADER_WORDS[n]])).alias("s"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, n in enumerate(names)]
-    best = cells.select(*keys, "col_idx", F.explode(F.array(*scores)).alias("m")).where(F.col("m.s") >= least)
-    option = F.struct(F.col("m.s").alias("s"), (-F.col("col_idx")).alias("at"), F.col("m.order").alias("order"), F.col("m.name").alias("name"))
-    ranked = best.groupBy(*keys).agg(F.sort_array(F.collect_list(option), asc=False).alias("options"))
-    start = F.array().cast("array<struct<s:double,at:int,order:int,name:string>>")
-
-    def take(chosen: Column, o: Column) -> Column:
-        clash = F.exists(chosen, lambda c: (c["at"] == o["at"]) | (c["name"] == o["name"]))
-        return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(o)))
-
-    picked = F.aggregate(F.transform("options", lambda o: F.struct(o["s"].cast("double").alias("s"), o["at"].cast("int").alias("at"), o["order"].cast("int").alias("order"), o["name"].alias("name"))), start, take)
-    return ranked.select(*keys, F.explode(picked).alias("p")).select(*keys, (-F.col("p.at")).alias("col_idx"), F.col("p.name").alias("name"), F.col("p.s").alias("score"))
-
+    kind_of = {k: i for i, k in enumerate(KINDS)}
+    below = cells.where((F.col("row_idx") > 0) & (F.col("row_idx") <= SAMPLES))
+    rows = below.groupBy(*keys).agg(F.count_distinct("row_idx").alias("__rows"))
+    fits = below.groupBy(*keys, "col_idx").agg(F.array(*[F.sum(cell_score(F.col("text"), F.lit(k))) for k in KINDS]).alias("__fits"))
+    heads = cells.where("row_idx = 0").join(rows.hint("merge"), keys, "left").join(fits.hint("merge"), [*keys, "col_idx"], "left")
+    # each step is a column of its own, so that it is computed once
+    heads = heads.withColumn("__label", header_label(F.col("text")))
+    heads = heads.withColumns({f"__w_{n}": F.array_max(F.array(*[header_score(F.col("__label"), F.lit(w)) for w in words])) for n, (_, _, words) in COLUMNS.items()})
+
+    def score(i: int, name: str) -> Column:
+        kind, best = COLUMNS[name][0], F.col(f"__w_{name}")
+        if name in expected:
+            best = best + F.greatest(F.lit(0.0), F.lit(0.08) - F.abs(F.col("col_idx") - expected.index(name)) * 0.02)
+        hits = F.coalesce(F.get("__fits", F.lit(kind_of[kind])), F.lit(0.0)) / F.greatest(F.col("__rows"), F.lit(1))
+        best = best + F.when(F.col("__rows").isNotNull() & (best > 0), F.least(F.lit(0.12), hits * 0.04)).otherwise(0.0)
+        return F.struct(F.round(-best, 4).alias("s"), F.lit(i).alias("order"), F.lit(name).alias("name"))
+
+    options = F.slice(F.array_sort(F.array(*[score(i, n) for i, n in enumerate(COLUMNS)])), 1, 4)
+    ranked = heads.select(*keys, "col_idx", options.alias("o")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_idx", "o"))).alias("heads"))
+    kind = "array<struct<col_idx: int, name: string, score: double>>"
+
+    def take(chosen: Column, h: Column) -> Column:
+        free = F.filter(h["o"], lambda o: (-o["s"] >= LEAST_HEADER) & ~F.exists(chosen, lambda c: c["name"] == o["name"]))
+        mine = F.get(free, F.lit(0))
+        return F.when(mine.isNull(), chosen).otherwise(F.concat(chosen, F.array(F.struct(h["col_idx"].cast("int").alias("col_idx"), mine["name"].alias("name"), (-mine["s"]).alias("score")))))
+
+    return ranked.select(*keys, F.inline(F.aggregate("heads", F.array().cast(kind), take)))
+
+
+def realigned(cells: DataFrame, keys: list[str], heads: DataFrame) -> DataFrame:
+    """(keys, row_idx, named, row_text, alignment) of every row that holds text: its cells under the names of
+    their columns. A name left blank takes the cell of the columns without a name that fits its kind best, each cell once,
+    in the order of the columns; ``alignment`` is the mean fit of all names."""
+    names = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_idx", "name"))).alias("names"))
+    cell = F.struct(F.col("col_idx").alias("i"), text.stripped(F.col("text")).alias("v"), F.coalesce("text", F.lit("")).alias("raw"))
+    rows = cells.where("row_idx > 0").groupBy(*keys, "row_idx").agg(F.array_sort(F.collect_list(cell)).alias("row"))
+    rows = rows.where(F.exists("row", lambda c: c["v"] != "")).join(names.hint("merge"), keys)
+    kind_of = F.create_map(*[F.lit(x) for n, (k, _, _) in COLUMNS.items() for x in (n, k)])
+    least = F.create_map(*[F.lit(x) for n, (k, _, _) in COLUMNS.items() for x in (n, LEAST_CODE if k == "code" else LEAST_CELL)])
+    spare = F.filter("row", lambda c: (c["v"] != "") & ~F.exists("names", lambda n: n["col_idx"] == c["i"]))
+    spare = F.transform(spare, lambda c: F.struct(c["i"].cast("int").alias("i"), c["v"].alias("v")))
+    start = F.struct(spare.alias("spare"), F.array().cast("array<struct<key: string, value: string>>").alias("named"))
+
+    def put(s: Column, n: Column) -> Column:
+        own = F.coalesce(F.get(F.filter("row", lambda c: c["i"] == n["col_idx"]), F.lit(0))["v"], F.lit(""))
+        fits = F.transform(s["spare"], lambda c: F.struct(cell_score(c["v"], kind_of[n["name"]]).alias("s"), (-c["i"]).alias("i"), c["v"].alias("v")))
+        best = F.array_max(fits)
+        found = (own == "") & F.coalesce(best["s"] >= least[n["name"]], F.lit(False))
+        named = F.array(F.struct(n["name"].alias("key"), F.when(found, best["v"]).otherwise(own).alias("value")))
+        return F.struct(F.filter(s["spare"], lambda c: ~found | (c["i"] != -best["i"])).alias("spare"), F.concat(s["named"], named).alias("named"))
+
+    rows = rows.select(*keys, "row_idx", F.array_join(F.transform("row", lambda c: c["raw"]), " ").alias("row_text"), F.aggregate("names", start, put)["named"].alias("n"))
+    total = F.aggregate("n", F.lit(0.0), lambda a, c: a + cell_score(c["value"], kind_of[c["key"]]))
+    return rows.select(*keys, "row_idx", F.map_from_entries("n").alias("named"), "row_text", F.round(total / F.greatest(F.size("n"), F.lit(1)), 3).alias("alignment"))
+
+
+def is_item_code(c: Column) -> Column:
+    """Two to four letters and digits, or four to six digits."""
+    return F.coalesce(F.regexp_like(codes.upper_trim(c), F.lit(r"^([A-Z]{2,4}\d{2,12}|\d{4,6})$")), F.lit(False))
+
+
+def table_lines(cells: DataFrame, keys: list[str], doc_type: Column | None = None, profile: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cell lines, rejected rows with reason) of ``cells(keys, row_idx, col_idx, text)`` whose row 0 is the header.
+
+    A row with an item code is a line; one that only has an article code inherits the local code of the last line that
+    had one (W2). The designation of other rows goes to the line before (W3), unless it holds an amount. Of equal lines
+    the first stays (W4). Lines are (keys, line_no, cells, raw_line, locked, alignment), line_no being the row.
+    """
+    heads = materialised(mapped_headers(cells, keys), "headers")
+    rows = realigned(cells, keys, heads)
+    doc_type, profile = doc_type if doc_type is not None else F.lit(""), profile if profile is not None else F.lit("")
 
-def table_lines(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(lines, rejected rows with reason) of ``cells(keys, row_idx, col_idx, text)`` whose row 0 is the header.
+    def of(name: str) -> Column:
+        return F.coalesce(F.try_element_at("named", F.lit(name)), F.lit(""))
 
-    A row with a code is a line; its local code is carried forward when missing (W2). Text of rows without a code is
-    added to the line before (W3). First rows of equal lines stay (W4).
-    """
-    heads = mapped_headers(cells.where("row_idx = 0"), keys)
-    body = cells.where("row_idx > 0").join(heads.select(*keys, "col_idx", "name"), [*keys, "col_idx"])
-    wide = body.groupBy(*keys, "row_idx").pivot("name", list(HEADER_WORDS)).agg(F.max(text.stripped(F.col("text"))))
-    wide = wide.fillna("", list(HEADER_WORDS))
-    own_pct, own_art = codes.is_local_code(F.col("code_pct")), codes.is_article_code(F.col("code_article"))
-    wide = wide.withColumns({"__ok": own_pct | own_art, "__pct": F.when(own_pct, F.col("code_pct"))})
+    rows = rows.withColumns({n: of(n) for n in COLUMNS}).withColumn("__raw", F.left(F.trim("row_text"), F.lit(140)))
     w = Window.partitionBy(*keys).orderBy("row_idx")
-    before = F.last("__pct", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    wide = wide.withColumns({"__line": F.sum(F.col("__ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before": before})
-    filled = F.coalesce("__pct", "__before", F.lit(""))
-    more = F.sort_array(F.collect_list(F.when(~F.col("__ok") & (F.col("designation") != ""), F.struct("row_idx", "designation"))))
-    first = F.first(F.when(F.col("__ok"), F.struct("row_idx", filled.alias("code_pct"), F.col("__pct").isNull().alias("carried"), "code_article", "designation", "quantite", "prix_unitaire", "montant")), ignorenulls=True)
-    lines = wide.where("__line > 0").groupBy(*keys, "__line").agg(first.alias("l"), more.alias("more")).select(*keys, "l.*", "more")
-    joined = F.array_join(F.concat(F.array("designation"), F.transform("more", lambda m: m["designation"])), " ")
-    lines = lines.withColumn("designation", F.trim(joined)).withColumn("code_confidence", F.when(F.col("carried"), 0.65).otherwise(0.9)).drop("more")
-    same = Window.partitionBy(*keys, "code_pct", "code_article", "designation", "montant").orderBy("row_idx")
-    lines = lines.withColumn("__rn", F.row_number().over(same)).where("__rn = 1").drop("__rn")
-    reason = F.when(F.col("designation") == "", "blank row").otherwise("no code and no line before")
-    rejects = wide.where((F.col("__line") == 0) | (~F.col("__ok") & (F.col("designation") == ""))).select(*keys, "row_idx", reason.alias("reason"))
-    return lines, rejects
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    amount = numbers.float_any_locale(F.col("amount"))
+    rows = rows.withColumn("__amount", F.coalesce(F.when(amount > 0, F.format_string("%.4f", amount)), F.lit("")))
+    # only lines of their own local code hand it on, the first of equal ones
+    same = ["code_pct", "code_article", "__amount", "designation", "__raw"]
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, *same).orderBy("row_idx")))
+    gives = (F.col("__rank") == 1) & is_item_code(F.col("code_pct"))
+    rows = rows.withColumn("__last", F.last(F.when(gives, F.col("code_pct")), ignorenulls=True).over(so_far))
+    inherits = (F.col("code_pct") == "") & (F.col("code_article") != "") & F.col("__last").isNotNull()
+    pct = F.when(inherits, F.col("__last")).otherwise(F.col("code_pct"))
+    found = F.upper(F.regexp_extract("row_text", r"(?i)\b([A-Z]{2,4}\d{2,12}|\d{4,8})\b", 1))
+    code = F.coalesce(F.nullif(pct, F.lit("")), F.nullif(F.col("code_article"), F.lit("")), found)
+    rows = rows.withColumns({"__pct": pct, "__inherits": inherits, "__code": code}).withColumn("__ok", is_item_code(F.col("__code")))
+    # the code in front of a row's text is no part of a name; it has no character with a meaning in patterns
+    tail = text.stripped(F.regexp_replace(F.col("row_text"), F.concat(F.lit("(?i)^\\s*"), F.when(F.col("__ok"), F.col("__code")).otherwise("x"), F.lit("\\b")), F.lit("")))
+    name = F.when(F.length("designation") >= 2, F.col("designation")).otherwise(F.when(F.length(tail) >= 3, tail))
+    rows = rows.withColumn("__name", name)
+    again = F.row_number().over(Window.partitionBy(*keys, "__ok", "__pct", "code_article", "__amount", F.left(F.coalesce("__name", F.lit("")), F.lit(120)), "__raw").orderBy("row_idx"))
+    rows = rows.withColumn("__again", again).withColumn("__line", F.col("__ok") & (F.col("__again") == 1))
+    rows = rows.withColumn("__of", F.last(F.when(F.col("__line"), F.col("row_idx")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    goes_on = ~F.col("__ok") & F.col("__of").isNotNull() & (F.length("designation") >= 3) & ~F.regexp_like("designation", F.lit(r"\d[\d\s]*[,.]\d{2,3}"))
+    rows = rows.withColumn("__on", goes_on)
+    more = rows.where("__on").groupBy(*keys, F.col("__of").alias("row_idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("row_idx").alias("at"), "designation"))).alias("__more"))
+    lines = rows.where("__line").join(more.hint("merge"), [*keys, "row_idx"], "left")
+    added = F.transform(F.coalesce("__more", F.array().cast("array<struct<at: int, designation: string>>")), lambda m: m["designation"])
+    whole = F.array_join(F.concat(F.array(F.coalesce("__name", F.lit(""))), added), " ")
+    lines = lines.withColumn("__whole", F.nullif(text.stripped(whole), F.lit("")))
+
+    def made(value: Column, score: float, ok: Column | None = None) -> Column:
+        return F.when(ok if ok is not None else value != "", V.cell(value, "table_structured", score))
+
+    def number(c: str) -> Column:
+        return numbers.float_any_locale(F.when(~dates.is_date_like(F.col(c)), F.col(c)))
+
+    def carton(c: str) -> Column:
+        v = number(c)
+        return made(V.number_text(v), 0.84, (v > 0) & (v < 100_000))
+
+    q, price = number("quantity"), numbers.float_any_locale(F.col("unit_price"))
+    read = (F.col("quantity") != "") & ~dates.is_date_like(F.col("quantity"))
+    counted = F.coalesce(read & plausible_in_document(q, F.coalesce("__name", F.lit("")), doc_type, profile), F.lit(False))
+    fields = {
+        "code": made(F.col("__code"), 0.95), "code_pct": F.when(F.col("__pct") != "", F.when(F.col("__inherits"), V.cell(F.col("__pct"), "inherited_pct", 0.65)).otherwise(V.cell(F.col("__pct"), "table_structured", 0.92))),
+        "code_article": made(F.col("code_article"), 0.9), "designation": made(F.col("__whole"), 0.85, F.col("__whole").isNotNull()), "unite": F.when(F.col("unit") != "", V.cell(F.col("unit"), None, None)),
+        "quantite": made(V.number_text(q), 0.88, counted), "qty": F.when(counted, V.cell(V.number_text(q), None, None)), "nb_crt": carton("nb_crt"), "u_crt": carton("u_crt"), "date_peremption": made(F.col("date"), 0.8),
+        "promotion": made(F.col("promotion"), 0.8), "prix_unitaire": made(V.number_text(price), 0.9, price > 0), "montant": made(V.number_text(amount), 0.9, amount > 0),
+    }
+    out = lines.select(*keys, F.col("row_idx").alias("line_no"), V.cells(fields).alias("cells"), F.col("row_text").alias("raw_line"), counted.alias("locked"), "alignment", (read & ~counted).alias("__odd"))
+    bad = rows.where("not __line").select(*keys, "row_idx", F.when(F.col("__on"), "continuation_merged").when(F.col("__ok"), "duplicate_row_key").otherwise("invalid_code").alias("reason"))
+    return out.drop("__odd"), bad.unionByName(out.where("__odd").select(*keys, F.col("line_no").alias("row_idx"), F.lit("invalid_qty").alias("reason")))
 
 
 def layout_lines(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,8 +205,8 @@ def word_rows(words: DataFrame, keys: list[str], reach: int = 120, bin_px: int =
     lane within 120 px (the left one of equals)."""
     label = header_label(F.col("text"))
     name = F.lit(None).cast("string")
-    for n, options in reversed(list(HEADER_WORDS.items())):
-        name = F.when(label.isin(*options), n).otherwise(name)
+    for _, field, headers in reversed(COLUMNS.values()):
+        name = F.when(label.isin(*headers), field).otherwise(name)
     own = words.withColumns({"bin": (F.floor(F.col("top") / bin_px) * bin_px).cast("int"), "lane": name})
     rows = own.groupBy(*keys, "bin").agg(F.count_if(F.col("lane").isNotNull()).alias("n"))
     head = rows.where("n >= 2").groupBy(*keys).agg(F.min("bin").alias("head"))

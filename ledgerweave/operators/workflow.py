@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerweave.functions import numbers
 from ledgerweave.operators.reconcile import Settings
+from ledgerweave.sources import files
 
 #: Allowed moves of the workflow.
 MOVES = {None: ("pending",), "pending": ("held", "posted"), "held": ("pending", "held", "posted"), "posted": ()}
@@ -47,17 +49,80 @@ def approval(settings: Settings, force: Column) -> tuple[Column, Column]:
 
 
 def submitted(batch: DataFrame, posted: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reason) of a batch; within the batch the first submission of an invoice wins."""
-    first = Window.partitionBy("lib_facture").orderBy("submission_id")
-    ranked = batch.withColumn("rn", F.row_number().over(first))
-    known = posted.select("lib_facture").distinct().withColumn("posted", F.lit(True))
-    active = current.where(F.col("state").isin(*ACTIVE)).select("lib_facture").distinct().withColumn("active", F.lit(True))
-    marked = ranked.join(known, "lib_facture", "left").join(active, "lib_facture", "left")
-    reason = F.when(F.col("posted"), "already posted").when(F.col("active"), "active submission exists").when(F.col("rn") > 1, "repeated in batch")
-    marked = marked.withColumn("reason", reason).drop("posted", "active", "rn")
+    """(accepted, rejected with reason) of a batch. The first submission of an invoice, by id, becomes active,
+    so later ones of the batch meet an active submission.
+
+    Firsts are found by an aggregate, which combines before the shuffle: all invoices without a number share one key.
+    """
+    first = batch.groupBy("lib_facture").agg(F.min("submission_id").alias("__first"))
+    known = posted.select("lib_facture").distinct().withColumn("__posted", F.lit(True))
+    active = current.where(F.col("state").isin(*ACTIVE)).select("lib_facture").distinct().withColumn("__active", F.lit(True))
+    keys = first.join(known.hint("merge"), "lib_facture", "left").join(active.hint("merge"), "lib_facture", "left")
+    marked = batch.join(keys.hint("merge"), "lib_facture")
+    later = F.col("__active") | (F.col("submission_id") != F.col("__first"))
+    reason = F.when(F.col("__posted"), "already posted").when(F.coalesce(later, F.col("submission_id") != F.col("__first")), "active submission exists")
+    marked = marked.withColumn("reason", reason).drop("__posted", "__active", "__first")
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+SUBMISSIONS = "submission_id long, lib_facture string, submitted_by string, submitted_at timestamp, review_score_pct decimal(5,2)"
+EVENTS = "event_id long, submission_id long, lib_facture string, event_at timestamp, state string"
+NOTES = "notification_id long, username string, type string, title string, message string"
+REJECTS = f"{SUBMISSIONS}, reason string"
+
+
+def _typed(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
+
+
+def recorded(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Tables of all committed batches: submissions, their events, notifications and rejects."""
+    kinds = {"submission": SUBMISSIONS, "event": EVENTS, "notification": NOTES, "reject": REJECTS}
+    return {name: files.committed_or_empty(spark, root, name, kind) for name, kind in kinds.items()}
+
+
+def _recorded_as(spark: SparkSession, root: str, batch: str) -> bool:
+    return not files.committed_or_empty(spark, root, "metadata", "n long").where(F.col("batch") == batch).isEmpty()
+
+
+def _event_id(*parts: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1)
+
+
+def record_submissions(spark: SparkSession, root: str, batch: str, submissions: DataFrame, posted: DataFrame) -> None:
+    """The accepted submissions of a batch are appended with their first event and a notification, the others
+    with their reason. What earlier batches left active counts. The commit marker comes last: a batch that broke off is
+    written again in the same folders, and one that is committed is never run again, so a replay adds nothing."""
+    if _recorded_as(spark, root, batch):
+        return
+    tables = recorded(spark, root)
+    latest = tables["event"].groupBy("submission_id", "lib_facture").agg(F.max_by("state", F.struct("event_at", "event_id")).alias("state"))
+    accepted, rejected = submitted(submissions, posted, latest)
+    events = accepted.select(_event_id(F.col("submission_id"), F.lit("pending")).alias("event_id"), "submission_id", "lib_facture", F.col("submitted_at").alias("event_at"), F.lit("pending").alias("state"))
+    out = {"submission": _typed(accepted, SUBMISSIONS), "event": _typed(events, EVENTS), "notification": _typed(notifications(accepted), NOTES), "reject": _typed(rejected, REJECTS)}
+    files.write_extraction(out | {"metadata": spark.createDataFrame([(1,)], "n long")}, root, batch)
+
+
+def record_moves(spark: SparkSession, root: str, batch: str, moves: DataFrame) -> None:
+    """The moves ``(submission_id, event_at, state)`` of a batch that are legal after all that is recorded are appended.
+    Of several moves of a submission in one batch each is judged after the last one that was legal."""
+    if _recorded_as(spark, root, batch):
+        return
+    tables = recorded(spark, root)
+    now = tables["event"].groupBy("submission_id", "lib_facture").agg(F.max_by("state", F.struct("event_at", "event_id")).alias("now"))
+    # the few moves of one submission
+    asked = moves.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("event_at", "state"))).alias("moves"))
+    none = F.array().cast("array<struct<event_at: timestamp, state: string>>")
+
+    def step(s: Column, m: Column) -> Column:
+        ok = legal(s["now"], m["state"])
+        return F.struct(F.when(ok, m["state"]).otherwise(s["now"]).alias("now"), F.when(ok, F.concat(s["done"], F.array(F.struct(m["event_at"].cast("timestamp").alias("event_at"), m["state"].alias("state"))))).otherwise(s["done"]).alias("done"))
+
+    judged = now.join(asked.hint("merge"), "submission_id").withColumn("s", F.aggregate("moves", F.struct(F.col("now").alias("now"), none.alias("done")), step))
+    events = judged.select("submission_id", "lib_facture", F.posexplode("s.done").alias("at", "m")).select(_event_id(F.lit(batch), F.col("submission_id"), F.col("at")).alias("event_id"), "submission_id", "lib_facture", "m.event_at", "m.state")
+    files.write_extraction({"event": _typed(events, EVENTS), "metadata": spark.createDataFrame([(1,)], "n long")}, root, batch)
+
+
 def approved_batch(submissions: DataFrame, ok: Column, lines: DataFrame, articles: DataFrame, already: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables to post, events) of a batch of submissions: those that may be approved are posted and get the state
     ``posted`` with the id of their invoice. An invoice is posted once: not when it is in ``already``, and of several

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerweave.fixtures import VIEWS, ctes, frame
 from ledgerweave.operators import reconcile as R
-from ledgerweave.operators import rollup
+from ledgerweave.operators import rollup, workflow
 from ledgerweave.plans.reconciliation import JUDGED, raw_lines
 from ledgerweave.plans.reports import COUNTS
-from ledgerweave.plans.workflow import EVENTS
+from ledgerweave.plans.workflow import EVENTS, SEQUENCE
 from ledgerweave.registry import query
 from ledgerweave.streaming import feeds as S
 
@@ -30,6 +30,24 @@ def st3(spark, sf_dir):
     return S.drained(S.without_repeats(s, "10000 days"), S.folder(spark, "st3")).select("lib_facture")
 
 
+@query(
+    "st3_submission_stream",
+    SEQUENCE.format(order="submission_id") + " SELECT submission_id, lib_facture, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS decision, reason FROM judged",
+)
+def st3_rejects(spark, sf_dir):
+    return judged_submissions(spark, sf_dir, _stream(spark, sf_dir, "orders"))
+
+
+def judged_submissions(spark, sf_dir, orders):
+    """Every submission of a stream of orders with its decision."""
+    root = S.folder(spark, "st3-submissions")
+    stream = spark.sql(VIEWS["f_submission"], orders=orders, customer=frame(spark, sf_dir, "customer"))
+    S.submissions(stream, root, frame(spark, sf_dir, "f_submission").where("workflow_status = 'posted' and submission_id % 3 = 0"))
+    t = workflow.recorded(spark, root)
+    accepted = t["submission"].select("submission_id", "lib_facture", F.lit("accepted").alias("decision"), F.lit(None).cast("string").alias("reason"))
+    return accepted.unionByName(t["reject"].select("submission_id", "lib_facture", F.lit("rejected").alias("decision"), "reason"))
+
+
 @query(
     "st2_log_tail_stream",
     ctes("f_log") + " SELECT CASE WHEN log_id % 40 = 2 THEN 'unknown' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS log_date, count(*) AS n, count(*) FILTER (log_id % 40 = 2) AS n_bad FROM f_log GROUP BY 1",
@@ -55,7 +73,7 @@ def followed(spark, events):
     """State and counts of each submission after all its events."""
     kind = F.col("event_type")
     moves = events.select("event_id", F.col("user_id").alias("submission_id"), F.col("ts").alias("event_at"), F.when(kind == "view", "held").when(kind == "purchase", "posted").otherwise("pending").alias("state"))
-    out = S.each_batch(S.tracked(moves), lambda b: b, S.folder(spark, "st5"), "update")
+    out = S.each_batch(S.tracked(moves, "10000 days"), lambda b: b, S.folder(spark, "st5"), "update")
     return out.groupBy("submission_id").agg(*[F.max_by(c, "n_events").alias(c) for c in ("state", "n_illegal")], F.max("n_events").alias("n_events"))
 
 

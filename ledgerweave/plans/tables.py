@@ -5,41 +5,63 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave.fixtures import ctes, frame
+from ledgerweave.operators import provenance as V
 from ledgerweave.operators import tables as T
 from ledgerweave.registry import query
 
 
+GRID = """SELECT invoice_id, line_no AS row_idx, CASE line_no % 4 WHEN 3 THEN '' WHEN 0 THEN '' ELSE code END AS pct, CASE line_no % 4 WHEN 0 THEN '' ELSE 'PF' || lpad(CAST(line_no AS STRING), 9, '0') END AS art,
+    CASE line_no % 4 WHEN 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'suite' ELSE 'suite 12,50' END ELSE designation END AS name, CASE line_no % 4 WHEN 2 THEN '' WHEN 0 THEN '' ELSE quantite END AS qte,
+    CASE line_no % 4 WHEN 1 THEN '12,50' WHEN 2 THEN '1 000.25' ELSE '' END AS price, CASE line_no % 4 WHEN 2 THEN quantite WHEN 0 THEN 'x' ELSE '' END AS obs, CASE line_no % 4 WHEN 3 THEN '7,125' ELSE '' END AS note FROM {f_line}"""
+HEADER = ("Code PCT", "Code Article", "Désignation", "Qté", "P.U.", "Obs", "Note")
+
+
 def cells(spark, sf_dir):
-    """A table for each invoice: a header row, then two rows for each item (the item, and a continuation)."""
-    own = frame(spark, sf_dir, "f_line").where("designation <> ''")
-    pct = F.when(F.col("line_no") % 2 == 1, F.concat(F.col("code"))).otherwise("")
-    art = F.concat(F.lit("PF"), F.lpad(F.col("line_no").cast("string"), 9, "0"))
-    item = F.array(pct, art, F.col("designation"), F.col("quantite"))
-    rows = own.select("invoice_id", (F.col("line_no") * 2).alias("row_idx"), F.posexplode(item).alias("col_idx", "text"))
-    more = own.select("invoice_id", (F.col("line_no") * 2 + 1).alias("row_idx"), F.posexplode(F.array(F.lit(""), F.lit(""), F.lit("suite"), F.lit(""))).alias("col_idx", "text"))
-    head = own.select("invoice_id").distinct().select("invoice_id", F.lit(0).alias("row_idx"), F.posexplode(F.array(F.lit("Code PCT"), F.lit("Code Article"), F.lit("Désignation"), F.lit("Qté"))).alias("col_idx", "text"))
-    return head.unionByName(rows).unionByName(more)
+    """A table for each invoice: a header row and a row for each line. Of four rows one is in order, one has its quantity
+    and one its price in a column without a name, and one has no code."""
+    rows = spark.sql(GRID, f_line=frame(spark, sf_dir, "f_line"))
+    body = rows.select("invoice_id", "row_idx", F.posexplode(F.array("pct", "art", "name", "qte", "price", "obs", "note")).alias("col_idx", "text"))
+    head = rows.select("invoice_id").distinct().select("invoice_id", F.lit(0).alias("row_idx"), F.posexplode(F.array(*map(F.lit, HEADER))).alias("col_idx", "text"))
+    return head.unionByName(body)
+
 
+GRIDS = ctes("f_line") + f""", g AS ({GRID.format(f_line="f_line")}), a AS (SELECT *, CASE row_idx % 4 WHEN 2 THEN obs ELSE qte END AS q, CASE row_idx % 4 WHEN 3 THEN note ELSE price END AS p FROM g),
+s AS (SELECT *, CASE WHEN pct = '' THEN 0.0 ELSE 1.0 END AS s0, CASE WHEN art = '' THEN 0.0 ELSE 1.0 END AS s1, CASE WHEN name = '' THEN 0.0 ELSE 1.0 END AS s2, CASE WHEN q = '' THEN 0.0 ELSE 1.0 END AS s3, CASE WHEN p = '' THEN 0.0 ELSE 1.0 END AS s4 FROM a)"""
 
-ITEMS = ctes("f_line") + """, o AS (SELECT invoice_id, line_no, code, designation, quantite, CASE WHEN line_no % 2 = 1 THEN code END AS own FROM f_line WHERE designation <> '')"""
+
+@query("a22_row_alignment", GRIDS + " SELECT invoice_id, row_idx, pct AS code_pct, q AS quantity, p AS unit_price, round((s0 + s1 + s2 + s3 + s4) / 5, 3) AS alignment FROM s")
+def a22_rows(spark, sf_dir):
+    own = cells(spark, sf_dir)
+    out = T.realigned(own, ["invoice_id"], T.mapped_headers(own, ["invoice_id"]))
+    return out.select("invoice_id", "row_idx", *[F.col("named")[c].alias(c) for c in ("code_pct", "quantity", "unit_price")], "alignment")
 
 
 @query(
     "t14_table_lines",
-    ITEMS + """ SELECT invoice_id, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY invoice_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS code_pct,
-  'PF' || lpad(CAST(line_no AS STRING), 9, '0') AS code_article, designation || ' suite' AS designation, quantite, own IS NULL AS carried FROM o""",
+    GRIDS + """, l AS (SELECT *, last_value(nullif(pct, '') IGNORE NULLS) OVER (PARTITION BY invoice_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(name) OVER (PARTITION BY invoice_id ORDER BY row_idx) AS after,
+  concat_ws(' ', pct, art, name, qte, price, obs, note) AS txt FROM s), m AS (SELECT *, CASE WHEN pct <> '' THEN pct ELSE coalesce(before, '') END AS own, CASE WHEN name <> '' THEN name WHEN pct <> '' THEN trim(substr(txt, length(pct) + 1)) ELSE trim(txt) END AS shown FROM l WHERE art <> '')
+SELECT invoice_id, row_idx AS line_no, coalesce(nullif(own, ''), art) AS code, 'table_structured' AS code_source, 0.95 AS code_score, nullif(own, '') AS code_pct, CASE WHEN pct <> '' THEN 'table_structured' WHEN own <> '' THEN 'inherited_pct' END AS code_pct_source, CASE WHEN pct <> '' THEN 0.92 WHEN own <> '' THEN 0.65 END AS code_pct_score,
+  CASE WHEN row_idx % 4 = 3 AND after = 'suite' THEN shown || ' suite' ELSE shown END AS designation, 'table_structured' AS designation_source, 0.85 AS designation_score, nullif(q, '') AS quantite, CASE WHEN q <> '' THEN 'table_structured' END AS quantite_source, CASE WHEN q <> '' THEN 0.88 END AS quantite_score,
+  CASE row_idx % 4 WHEN 1 THEN '12.5' WHEN 2 THEN '1000.25' ELSE '7.125' END AS prix_unitaire, 'table_structured' AS prix_unitaire_source, 0.9 AS prix_unitaire_score, q <> '' AS locked, txt AS raw_line FROM m""",
 )
 def t14(spark, sf_dir):
     lines, _ = T.table_lines(cells(spark, sf_dir), ["invoice_id"])
-    return lines.select("invoice_id", "code_pct", "code_article", "designation", "quantite", "carried")
+    return V.flat(lines, ["code", "code_pct", "designation", "quantite", "prix_unitaire"], ["invoice_id", "line_no", "locked", "raw_line"])
+
+
+@query("t14_rejected_rows", GRIDS + " SELECT invoice_id, row_idx, CASE WHEN name = 'suite' THEN 'continuation_merged' ELSE 'invalid_code' END AS reason FROM s WHERE row_idx % 4 = 0")
+def t14_rejects(spark, sf_dir):
+    return T.table_lines(cells(spark, sf_dir), ["invoice_id"])[1]
 
 
 @query(
     "j20_header_mapping",
-    ITEMS + " SELECT DISTINCT invoice_id, v.col_idx, v.name, v.score FROM o, (VALUES (0, 'code_pct', CAST(1 AS DOUBLE)), (1, 'code_article', 1), (2, 'designation', 1), (3, 'quantite', 1)) AS v(col_idx, name, score)",
+    GRIDS + """, f AS (SELECT invoice_id, count(*) AS n, sum(CASE WHEN pct = '' THEN 0 ELSE 1.0 END) AS h0, sum(CASE WHEN art = '' THEN 0 ELSE 1.0 END) AS h1, sum(CASE WHEN name = '' THEN 0 ELSE 1.0 END) AS h2, sum(CASE WHEN qte = '' THEN 0 ELSE 1.0 END) AS h3, sum(CASE WHEN price = '' THEN 0 ELSE 1.0 END) AS h4
+  FROM s WHERE row_idx <= 4 GROUP BY invoice_id)
+SELECT invoice_id, v.col_idx, v.name, round(CAST(1 + least(0.12, v.h / n * 0.04) AS DOUBLE), 4) AS score FROM f, LATERAL (VALUES (0, 'code_pct', h0), (1, 'code_article', h1), (2, 'designation', h2), (3, 'quantity', h3), (4, 'unit_price', h4)) AS v(col_idx, name, h)""",
 )
 def j20(spark, sf_dir):
-    return T.mapped_headers(cells(spark, sf_dir).where("row_idx = 0"), ["invoice_id"])
+    return T.mapped_headers(cells(spark, sf_dir), ["invoice_id"])
 
 
 @query(

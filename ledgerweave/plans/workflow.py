@@ -9,6 +9,7 @@ from ledgerweave.operators import workflow as W
 from ledgerweave.operators.reconcile import Settings, articles
 from ledgerweave.plans.reconciliation import JUDGED, reconciled
 from ledgerweave.registry import query
+from ledgerweave.sources.scratch import shared_folder
 
 EVENTS = "(SELECT event_id, user_id AS submission_id, ts AS event_at, CASE WHEN event_type = 'signup' THEN 'pending' WHEN event_type = 'view' THEN 'held' WHEN event_type = 'purchase' THEN 'posted' ELSE 'pending' END AS state FROM {events})"
 
@@ -49,7 +50,7 @@ BATCH = ctes("f_submission") + """,
 posted AS (SELECT DISTINCT lib_facture FROM f_submission WHERE workflow_status = 'posted' AND submission_id % 3 = 0),
 active AS (SELECT DISTINCT lib_facture FROM f_submission WHERE workflow_status IN ('pending', 'held') AND submission_id % 3 = 1),
 batch AS (SELECT *, row_number() OVER (PARTITION BY lib_facture ORDER BY submission_id) AS rn FROM f_submission WHERE submission_id % 3 = 2),
-judged AS (SELECT b.*, CASE WHEN p.lib_facture IS NOT NULL THEN 'already posted' WHEN a.lib_facture IS NOT NULL THEN 'active submission exists' WHEN rn > 1 THEN 'repeated in batch' END AS reason
+judged AS (SELECT b.*, CASE WHEN p.lib_facture IS NOT NULL THEN 'already posted' WHEN a.lib_facture IS NOT NULL THEN 'active submission exists' WHEN rn > 1 THEN 'active submission exists' END AS reason
   FROM batch b LEFT JOIN posted p ON p.lib_facture = b.lib_facture LEFT JOIN active a ON a.lib_facture = b.lib_facture)"""
 
 
@@ -72,6 +73,45 @@ def r5(spark, sf_dir):
     return W.notifications(_batch(spark, sf_dir)[0])
 
 
+SEQUENCE = ctes("f_submission") + """,
+posted AS (SELECT DISTINCT lib_facture FROM f_submission WHERE workflow_status = 'posted' AND submission_id % 3 = 0),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY lib_facture ORDER BY {order}) AS rn FROM f_submission),
+judged AS (SELECT f.*, CASE WHEN p.lib_facture IS NOT NULL THEN 'already posted' WHEN rn > 1 THEN 'active submission exists' END AS reason FROM firsts f LEFT JOIN posted p ON p.lib_facture = f.lib_facture)"""
+
+
+def _recorded_batches(spark, sf_dir):
+    """Three batches one after the other, the second one twice, then moves of some submissions."""
+    root = shared_folder(spark, "submissions")
+    s = frame(spark, sf_dir, "f_submission")
+    posted = s.where("workflow_status = 'posted' and submission_id % 3 = 0")
+    for batch in (0, 1, 1, 2):
+        W.record_submissions(spark, root, f"b{batch}", s.where(F.col("submission_id") % 3 == batch), posted)
+    at = F.lit("2030-01-01").cast("timestamp")
+    moves = s.where("submission_id % 5 = 0").select("submission_id", at.alias("event_at"), F.when(F.col("submission_id") % 2 == 0, "held").otherwise("pending").alias("state"))
+    later = s.where("submission_id % 10 = 0").select("submission_id", (at + F.expr("interval 1 day")).alias("event_at"), F.lit("posted").alias("state"))
+    W.record_moves(spark, root, "m0", moves.unionByName(later))
+    return W.recorded(spark, root)
+
+
+@query(
+    "r5_recorded_batches",
+    SEQUENCE.format(order="submission_id % 3, submission_id") + """ SELECT submission_id, lib_facture, 'b' || CAST(submission_id % 3 AS STRING) AS batch, CASE WHEN submission_id % 10 = 0 THEN 'posted' ELSE 'pending' END AS state,
+    CAST(CASE WHEN submission_id % 10 = 0 THEN 3 ELSE 1 END AS BIGINT) AS n_events, CAST(1 AS BIGINT) AS n_notes FROM judged WHERE reason IS NULL""",
+)
+def r5_recorded(spark, sf_dir):
+    """S9, S11, R8, W6, R12 read back what was recorded: a move to where a submission already is, is not legal."""
+    t = _recorded_batches(spark, sf_dir)
+    state = W.current_state(t["event"])
+    notes = W.unread(t["notification"], t["notification"].where("false")).groupBy(F.col("notification_id").alias("submission_id")).agg(F.count("*").alias("n_notes"))
+    out = t["submission"].select("submission_id", "lib_facture", "batch").join(state.hint("merge"), "submission_id").join(notes.hint("merge"), "submission_id")
+    return out.select("submission_id", "lib_facture", "batch", "state", "n_events", "n_notes")
+
+
+@query("j4_j5_recorded_rejects", SEQUENCE.format(order="submission_id % 3, submission_id") + " SELECT submission_id, lib_facture, reason FROM judged WHERE reason IS NOT NULL")
+def j4_recorded(spark, sf_dir):
+    return _recorded_batches(spark, sf_dir)["reject"].select("submission_id", "lib_facture", "reason")
+
+
 POSTED = JUDGED + """,
 done AS (SELECT invoice_id FROM f_invoice WHERE invoice_id % 10 = 0),
 own AS (SELECT * FROM rec WHERE invoice_id NOT IN (SELECT invoice_id FROM done)),

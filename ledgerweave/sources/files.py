@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,18 @@ def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}").join(done, "batch", "left_semi")
 
 
+def committed_or_empty(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """``committed`` with a declared schema and the batch as text; no rows where nothing was ever written."""
+    kind = T.StructType.fromDDL(f"{schema}, batch string")
+    try:
+        done = spark.read.schema("batch string").parquet(f"{root}/metadata").distinct()
+        return spark.read.schema(kind).parquet(f"{root}/{name}").join(done.hint("merge"), "batch", "left_semi").select(*kind.fieldNames())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+
+
 def document_texts(pages: DataFrame, doc: str) -> DataFrame:
     """Page texts of each zone in page order: headers and full texts apart by a blank line, bodies by a line end."""
     parts = F.sort_array(F.collect_list(F.struct("page", "text")))

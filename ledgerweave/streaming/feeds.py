@@ -80,22 +80,55 @@ def parsed_logs(lines: DataFrame) -> DataFrame:
 
 
 MOVES = "submission_id long, state string, n_events long, n_illegal long"
+STATE = "current string, n long, illegal long, at array<long>, ids array<long>, states array<string>"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current, n, illegal = state.get if state.exists else (None, 0, 0)
-    events = pd.concat(list(batches)).sort_values(["event_at", "event_id"])
-    for to in events["state"]:
-        n += 1
+def _judged(current: str | None, illegal: int, states: list[str]) -> tuple[str | None, int]:
+    for to in states:
         illegal += to not in workflow.MOVES.get(current or None, ())
         current = to
-    state.update((current, n, illegal))
-    yield pd.DataFrame({"submission_id": [key[0]], "state": [current], "n_events": [n], "n_illegal": [illegal]})
+    return current, illegal
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    current, n, illegal, *lists = state.get if state.exists else (None, 0, 0, [], [], [])
+    waiting = list(zip(*lists, strict=True))
+    events = [] if state.hasTimedOut else pd.concat(list(batches))
+    if len(events):
+        waiting += zip((events["event_at"].astype("int64") // 1000 if events["event_at"].dt.unit == "ns" else events["event_at"].astype("int64")).tolist(), events["event_id"].tolist(), events["state"].tolist(), strict=True)
+        waiting.sort()
+    # what the watermark has passed can get no event before it
+    passed = [e for e in waiting if e[0] < 1000 * state.getCurrentWatermarkMs()]
+    current, illegal = _judged(current, illegal, [to for _, _, to in passed])
+    n, waiting = n + len(passed), waiting[len(passed) :]
+    state.update((current, n, illegal, *([e[i] for e in waiting] for i in range(3))))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[-1][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    if len(events):
+        last, wrong = _judged(current, illegal, [to for _, _, to in waiting])
+        yield pd.DataFrame({"submission_id": [key[0]], "state": [last], "n_events": [n + len(waiting)], "n_illegal": [wrong]})
+
+
+def tracked(events: DataFrame, late: str = "30 days") -> DataFrame:
+    """ST5: workflow state of each submission over time, one row whenever an event comes.
+
+    Moves are judged in the order of (event_at, event_id), however they arrive: those within ``late`` of the newest event
+    wait in the state and are judged again with every newcomer; what the watermark has passed is folded into three
+    values by a timer, so the state of a submission stays short. Events later than that are dropped.
+    """
+    timed = events.withWatermark("event_at", late)
+    return timed.groupBy("submission_id").applyInPandasWithState(_advance, MOVES, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def tracked(events: DataFrame) -> DataFrame:
-    """ST5: workflow state of each submission over time, one row whenever it changes; state is three values a key."""
-    return events.groupBy("submission_id").applyInPandasWithState(_advance, MOVES, "state string, n long, illegal long", "update", GroupStateTimeout.NoTimeout)
+def submissions(stream: DataFrame, root: str, posted: DataFrame) -> None:
+    """ST3: every micro-batch of submissions is judged against the posted invoices and all that earlier batches recorded
+    (J4, J5), and recorded under its number; a batch that Spark replays adds nothing."""
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        workflow.record_submissions(spark, root, f"{number:012d}", batch, posted)
+
+    stream.writeStream.option("checkpointLocation", f"{root}-state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
 
 
 def folder(spark: SparkSession, name: str) -> str:
