@@ -8,9 +8,10 @@ or other rows.
 
 The text is read as UTF-8 after one leading blank. In pieces the blank mark stands for a blank; a character without a
 piece of its own falls back to byte pieces (so does a literal U+2581). Decoding joins the pieces' bytes and drops the
-leading blank: it gives back every text exactly. Pieces never reach over a blank, a line end, or the cuts that part a
-longer word into runs of at most ``LONG`` bytes (whole characters); so the lattice of a text is a chain of short word
-lattices, and each distinct word of a batch gets its lattice once.
+leading blank: it gives back every text exactly. Pieces never reach over a blank or a line end, so the lattice of a text
+is a chain of word lattices, and each distinct word of a batch gets its lattice once. A word of more than ``LONG`` bytes
+(a text without blanks) is worked off on its own, ``RUN`` bytes at a time: the forward pass keeps one sum for each byte,
+and the edges of a run are found again, with those that reach into it, when the backward pass comes to it.
 
 Defined results: null text gives null pieces; an empty text gives the pieces of the leading blank; rows with the same
 key and text get the same pieces; a null key is a key of its own; other columns are not read; an empty table gives
@@ -20,6 +21,9 @@ changes no piece of it, so memory is bounded by the part and the text itself.
 
 from __future__ import annotations
 
+import bisect
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,8 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART, LONG, SLICE = 1_000_000, 512, 4_000_000
+PART, LONG, RUN, SLICE = 1_000_000, 512, 1 << 16, 4_000_000
 BLANK, LINE = 32, 10
+ONE_WORD = re.compile(rb" *[^ \n]*")
 
 
 @dataclass(frozen=True)
@@ -106,8 +111,8 @@ class Lattice:
     reach: np.ndarray  # end node + cumulative probability among the edges that end there
 
 
-def build(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> Lattice:
-    """Forward filtering of the words buf[begin : begin + size]."""
+def edges(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, token, weight) of all edges of the words buf[begin : begin + size], sorted by end node."""
     table, (row, piece) = _trie(pieces)
     ids, logs = np.array(pieces.ids, dtype=np.int32), np.array(pieces.logs)
     base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
@@ -146,7 +151,24 @@ def build(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces)
         weights.append(np.zeros(len(n)))
     start, end, token, weight = (np.concatenate(x) for x in (starts, ends, tokens, weights))
     order = np.argsort(end, kind="stable")
-    start, end, token, weight = start[order], end[order], token[order], weight[order]
+    return start[order], end[order], token[order], weight[order]
+
+
+def reach_of(start: np.ndarray, end: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """End node + cumulative probability among the edges that end there, of edges sorted by end."""
+    p = np.exp(total[start] + weight - total[end])
+    run = np.cumsum(p)
+    first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, int)
+    span = np.diff(np.concatenate([first, [len(end)]]))
+    run = np.minimum(run - np.repeat(run[first] - p[first], span), 1.0)
+    run[first + span - 1] = 1.0
+    return end + run
+
+
+def build(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> Lattice:
+    """Forward filtering of the words buf[begin : begin + size]."""
+    base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    start, end, token, weight = edges(buf, begin, size, pieces)
     # sums over the edges of one end node, place by place along the words
     place = (end - np.repeat(base, size + 1)[end]) if len(end) else end
     by_place = np.argsort(place, kind="stable")
@@ -160,36 +182,99 @@ def build(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces)
             top = np.maximum.reduceat(value, first)
             span = np.diff(np.concatenate([first, [len(e)]]))
             total[to[first]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, span)), first))
-    p = np.exp(total[start] + weight - total[end])
-    run = np.cumsum(p)
-    first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, int)
-    span = np.diff(np.concatenate([first, [len(end)]]))
-    run = np.minimum(run - np.repeat(run[first] - p[first], span), 1.0)
-    run[first + span - 1] = 1.0
-    return Lattice(base, size, start, token, end + run)
+    return Lattice(base, size, start, token, reach_of(start, end, weight, total))
+
+
+def _runs(word: np.ndarray) -> list[int]:
+    """Ends of the runs of a long word, each at the start of a character."""
+    cuts = [0]
+    while len(word) - cuts[-1] > RUN:
+        at = cuts[-1] + RUN
+        while word[at] & 0xC0 == 0x80:
+            at -= 1
+        cuts.append(at)
+    return [*cuts, len(word)]
+
+
+def _upto(word: np.ndarray, at: int) -> int:
+    """The end of the character that reaches over ``at``."""
+    while at < len(word) and word[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(word))
+
+
+def _forward(word: np.ndarray, pieces: Pieces, reach: int) -> np.ndarray:
+    """Log of the summed weight of all ways to cut each prefix of a long word."""
+    total = np.full(len(word) + 1, -np.inf)
+    total[0] = 0.0
+    cuts = _runs(word)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        piece = word[lo : _upto(word, hi + reach)]
+        start, end, _, weight = edges(piece, np.array([0]), np.array([len(piece)]), pieces)
+        mine = start < hi - lo
+        order = np.argsort(start[mine], kind="stable")
+        sums = total[lo : lo + len(piece) + 1].tolist()
+        # an edge is added when all that end at its start have been
+        for a, b, w in zip(start[mine][order].tolist(), end[mine][order].tolist(), weight[mine][order].tolist(), strict=True):
+            x, y = sums[a] + w, sums[b]
+            if x < y:
+                x, y = y, x
+            sums[b] = x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+        total[lo : lo + len(sums)] = sums
+    return total
+
+
+def sample_long(raw: bytes, stream: np.ndarray, at: int, pieces: Pieces) -> np.ndarray:
+    """Token ids of one word, drawn from its whole lattice with memory for a sum a byte and the edges of one run."""
+    word, reach = np.frombuffer(raw, dtype=np.uint8), max(4, *map(len, pieces.texts))
+    total = _forward(word, pieces, reach)
+    out, here, cuts = [], len(word), _runs(word)
+    with np.errstate(over="ignore"):
+        for lo, hi in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+            if here <= lo:
+                continue
+            first = max(0, lo - reach)
+            while word[first] & 0xC0 == 0x80:
+                first -= 1
+            piece = word[first : _upto(word, hi + reach)]
+            start, end, token, weight = edges(piece, np.array([0]), np.array([len(piece)]), pieces)
+            mine = (end > lo - first) & (end <= hi - first)
+            start, end, token, weight = start[mine], end[mine], token[mine], weight[mine]
+            ends = reach_of(start, end, weight, total[first : first + len(piece) + 1]).tolist()
+            start, token = start.tolist(), token.tolist()
+            node = np.arange(hi - first + 1)
+            u = mix64(stream + (node + (at + first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            draw = np.minimum(node + (u >> np.uint64(11)) * 2.0**-53, np.nextafter(node + 1.0, 0.0)).tolist()
+            here -= first
+            while here > lo - first:
+                edge = bisect.bisect_right(ends, draw[here])
+                out.append(token[edge])
+                here = start[edge]
+            here += first
+    return np.array(out[::-1], dtype=np.int32)
 
 
 def words_of(buf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Starts of words: at a text's start, around line ends, at the first of a run of blanks, and inside long words."""
+    """Starts of words: at a text's start, around line ends, and at the first of a run of blanks."""
     start = np.zeros(len(buf), dtype=bool)
     start[docs] = True
     line = buf == LINE
     start |= line
     start[1:] |= line[:-1] | ((buf[1:] == BLANK) & (buf[:-1] != BLANK))
-    begin = np.flatnonzero(start)
-    end = np.concatenate([begin[1:], [len(buf)]])
-    more = end - begin > LONG
-    at, end = begin[more], end[more]
-    while len(at):
-        at = at + LONG
-        for _ in range(3):  # back to the start of the character
-            at = at - ((buf[at] & 0xC0) == 0x80)
-        start[at] = True
-        on = end - at > LONG
-        at, end = at[on], end[on]
     return np.flatnonzero(start)
 
 
+def apart(raw: bytes) -> list[tuple[int, bytes]]:
+    """A text in its words of more than ``LONG`` bytes, each on its own, and what lies between, each with its place."""
+    if len(raw) <= LONG:
+        return [(0, raw)]
+    begin = words_of(np.frombuffer(raw, dtype=np.uint8), np.array([0]))
+    size = np.diff(np.concatenate([begin, [len(raw)]]))
+    more = size > LONG
+    cuts = np.unique(np.concatenate([[0], begin[more], begin[more] + size[more], [len(raw)]])).tolist()
+    return [(i, raw[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def distinct_words(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a word of each kind, kind of each word), by a polynomial hash that is then checked byte by byte."""
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -208,9 +293,36 @@ def distinct_words(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tupl
     return np.concatenate([first, odd]), kind
 
 
+def streams(keys: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(keys.astype(np.uint64) ^ mix64(np.array([seed], dtype=np.uint64)))
+
+
 def sample(raw: list[bytes], keys: np.ndarray, at: np.ndarray, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(token ids of all segments end to end, number of tokens of each). A segment of a text with its leading blank
     starts at byte ``at`` of it, where a word starts."""
+    parts = [(i, int(at[i]) + a, r) for i, t in enumerate(raw) for a, r in apart(t)]
+    if len(parts) == len(raw) and not any(_is_long(r) for _, _, r in parts):
+        return sample_short(raw, keys, at, pieces, seed)
+    long = [_is_long(r) for _, _, r in parts]
+    short = [p for p, is_long in zip(parts, long, strict=True) if not is_long]
+    rows = np.array([i for i, _, _ in short], dtype=np.int64)
+    ids, n = sample_short([r for _, _, r in short], keys[rows], np.array([a for _, a, _ in short]), pieces, seed) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    found = iter(np.split(ids, np.cumsum(n)[:-1])) if short else iter(())
+    stream = streams(keys, seed)
+    each = [sample_long(r, stream[i : i + 1], a, pieces) if is_long else next(found) for (i, a, r), is_long in zip(parts, long, strict=True)]
+    counts = np.zeros(len(raw), dtype=np.int64)
+    np.add.at(counts, [i for i, _, _ in parts], [len(x) for x in each])
+    return np.concatenate(each), counts
+
+
+def _is_long(raw: bytes) -> bool:
+    """Whether a part is one long word: other parts that long hold a second word."""
+    return len(raw) > LONG and ONE_WORD.fullmatch(raw) is not None
+
+
+def sample_short(raw: list[bytes], keys: np.ndarray, at: np.ndarray, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``sample`` of segments without long words."""
     lengths = np.array([len(t) for t in raw], dtype=np.int64)
     docs = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -223,7 +335,7 @@ def sample(raw: list[bytes], keys: np.ndarray, at: np.ndarray, pieces: Pieces, s
     origin, base = begin[order], lattice.base[kind[order]]
     node = base + size[order]
     with np.errstate(over="ignore"):
-        stream = mix64(keys.astype(np.uint64) ^ mix64(np.array([seed], dtype=np.uint64)))[doc]
+        stream = streams(keys, seed)[doc]
         offset = (origin - docs[doc] + at[doc] - base).astype(np.uint64)
         out = np.full(len(buf), -1, dtype=np.int32)
         live = np.arange(len(node))
@@ -252,13 +364,18 @@ def _byte_table(pieces: Pieces) -> dict[int, bytes]:
 
 
 def segments(raw: bytes) -> list[tuple[int, bytes]]:
-    """A text in pieces of at most ``PART`` bytes that start with words, each with its place."""
+    """A text in pieces of at most ``PART`` bytes that start with words, each with its place; a longer word makes a longer
+    piece."""
     if len(raw) <= PART:
         return [(0, raw)]
     begin = words_of(np.frombuffer(raw, dtype=np.uint8), np.array([0]))
     cuts = [0]
     while len(raw) - cuts[-1] > PART:
-        cuts.append(int(begin[np.searchsorted(begin, cuts[-1] + PART, side="right") - 1]))
+        k = np.searchsorted(begin, cuts[-1] + PART, side="right")
+        k = k if begin[k - 1] <= cuts[-1] else k - 1
+        if k == len(begin):
+            break
+        cuts.append(int(begin[k]))
     return [(i, raw[i:j]) for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
 

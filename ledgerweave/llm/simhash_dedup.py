@@ -108,11 +108,11 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of a group stays the row with the smallest doc_id, null only where the whole group has none; then a null text and
     the hash of the text decide, and for equal rows the hash of all columns. Groups with the same or no doc_id are apart.
+    Other columns pass through whatever their names.
     """
     row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    marked = docs.withColumn("__row", row)
-    of = near_copies(marked.select("doc_id", F.col("__row").alias("row"), "text"), ["doc_id"], links)
-    kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = marked.join(kept.hint("merge"), "__row", "left_semi").groupBy("__row").agg(F.min_by(whole, F.xxhash64(whole)).alias("__best"))
-    return out.select("__best.*")
+    of = near_copies(docs.select("doc_id", row.alias("row"), "text"), ["doc_id"], links)
+    kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    out = docs.select(row.alias("row"), whole.alias("doc")).join(kept.hint("merge"), "row", "left_semi").groupBy("row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return out.select("doc.*")

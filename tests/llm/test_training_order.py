@@ -64,3 +64,15 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert O.read_shards(spark, O.write_shards(df, str(tmp_path / "e"))).count() == 0
+
+
+def test_other_splits_between_scans_raise(spark, tmp_path, monkeypatch):
+    """Records packed from fewer, more, or differently filled partitions than were counted."""
+    docs = spark.createDataFrame([(i, "word " * (400 + 37 * i % 900)) for i in range(60)], "doc_id long, text string").repartition(5, "doc_id")
+    pack = O.packed
+    for k, other in enumerate((lambda d: d.coalesce(2), lambda d: d.repartition(9, "doc_id"), lambda d: d.repartition(5, "text"))):
+        monkeypatch.setattr(O, "packed", lambda d, other=other: pack(other(d)))
+        with pytest.raises(Exception, match="split otherwise"):
+            O.write_shards(docs, str(tmp_path / f"s{k}"), shard_bytes=1 << 14)
+    monkeypatch.setattr(O, "packed", pack)
+    assert O.write_shards(docs, str(tmp_path / "s"), shard_bytes=1 << 14)["n"] > 60
