@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave.fixtures import ctes, frame
+from ledgerweave.operators import legacy as G
 from ledgerweave.operators import lines as L
+from ledgerweave.operators import provenance as V
 from ledgerweave.operators import shapes as S
 from ledgerweave.registry import query
 
@@ -76,6 +78,46 @@ def t12(spark, sf_dir):
     return own.select("invoice_id", "line_no", S.vendor_row(rest, profile).alias("r")).select("invoice_id", "line_no", "r.*")
 
 
+ROWS = """SELECT invoice_id, line_no, n AS name, q, CASE line_no % 6 WHEN 0 THEN code || ' ' || n || ' | ' || q || ' | ' || day || ' | 2' WHEN 1 THEN '| ' || code || ' ' || q || ' X ' || n WHEN 2 THEN code || '  ' || n || ' ' || q
+    WHEN 3 THEN code || ' - ' || n || ' ' || q || ' 12,50' WHEN 4 THEN 'PF' || lpad(code, 9, '0') || ' ' || n || ' ' || q ELSE code || ' PF' || lpad(CAST(line_no AS STRING), 9, '0') || ' - ' || n || ' ' || q || ' 31/12/2026' END AS raw_line,
+    CASE line_no % 6 WHEN 0 THEN 'pharmasud_medis' WHEN 1 THEN 'avenir_medis' WHEN 2 THEN 'modele_proforma' ELSE '' END AS profile, code, shipped
+    FROM (SELECT f.*, upper(p_name) || ' B/30 COMP' AS n, CASE WHEN quantite = '' THEN '7' ELSE quantite END AS q, translate({day}, '05', 'OS') AS day FROM {f_line} f JOIN {part} ON p_partkey = CAST(code AS INT) % 300000) AS t"""
+SPARK_DAY, DUCK_DAY = "date_format(shipped, 'dd-MM-yyyy')", "strftime(shipped, '%d-%m-%Y')"
+
+
+@query(
+    "t12_legacy_lines",
+    ctes("f_line") + f""", r AS ({ROWS.format(f_line="f_line", part="part", day=DUCK_DAY)}), o AS (SELECT *, CASE WHEN line_no % 6 = 1 THEN substr(raw_line, 3) ELSE raw_line END AS row_text FROM r),
+w AS (SELECT *, row_number() OVER (PARTITION BY invoice_id, row_text ORDER BY line_no) AS k FROM o)
+SELECT invoice_id, line_no, CASE line_no % 6 WHEN 4 THEN 'PF' || lpad(code, 9, '0') ELSE code END AS code, CASE WHEN line_no % 6 <> 4 THEN code END AS code_pct, CASE line_no % 6 WHEN 4 THEN 'PF' || lpad(code, 9, '0') WHEN 5 THEN 'PF' || lpad(CAST(line_no AS STRING), 9, '0') END AS code_article,
+  CASE line_no % 6 WHEN 4 THEN 0.82 WHEN 5 THEN 0.72 END AS code_article_score, name AS designation, q AS quantite, 'ocr_fallback' AS quantite_source, 0.85 AS quantite_score, CASE WHEN line_no % 6 = 0 THEN strftime(shipped, '%d/%m/%Y') END AS date_peremption,
+  CASE WHEN line_no % 6 = 0 THEN '2' END AS nb_crt, row_text AS raw_line, true AS locked FROM w WHERE k = 1""",
+)
+def t12_legacy(spark, sf_dir):
+    """Rows of three vendors, of none, with an article code in front, and with one behind the local code."""
+    rows = spark.sql(ROWS.replace("{day}", SPARK_DAY), f_line=frame(spark, sf_dir, "f_line"), part=frame(spark, sf_dir, "part"))
+    out = G.legacy_lines(rows, "invoice_id", F.lit("2026-06-01").cast("date"), profile=F.col("profile"))
+    out = V.flat(out, ["code", "code_pct", "code_article", "designation", "quantite", "date_peremption", "nb_crt"], ["invoice_id", "line_no", "raw_line", "locked"])
+    return out.select("invoice_id", "line_no", "code", "code_pct", "code_article", "code_article_score", "designation", "quantite", "quantite_source", "quantite_score", "date_peremption", "nb_crt", "raw_line", "locked")
+
+
+DAMAGED = """SELECT invoice_id, line_no, 'X' AS code, CASE line_no % 4 WHEN 0 THEN n || ' ' || q || ' | ' WHEN 1 THEN q || CASE WHEN length(q) = 2 THEN ',000  ' ELSE ',0  ' END || n WHEN 2 THEN n || ' 31-12-2O26' ELSE '- ' || n || ' | 3' END AS designation, CASE WHEN line_no % 4 < 2 THEN '' ELSE q END AS quantite, n AS name, q
+    FROM (SELECT f.*, upper(p_name) || ' B/30 COMP' AS n, CASE WHEN quantite = '' THEN '7' ELSE quantite END AS q FROM {f_line} f JOIN {part} ON p_partkey = CAST(code AS INT) % 300000) AS t"""
+
+
+@query(
+    "t13_recovered_fields",
+    ctes("f_line") + f""", r AS ({DAMAGED.format(f_line="f_line", part="part")}) SELECT invoice_id, line_no, name AS designation, CASE WHEN line_no % 4 = 1 AND length(q) = 1 THEN q || '0' ELSE q END AS quantite, CASE WHEN line_no % 4 = 2 THEN '31/12/2026' END AS date_peremption, CASE WHEN line_no % 4 = 3 THEN '3' END AS nb_crt FROM r""",
+)
+def t13(spark, sf_dir):
+    """Quantities before and behind the name, dates and carton counts that ran into designations. Digits of a token in the
+    quantity's place count without its marks, so ``7,0`` reads 70; five digits are no quantity there."""
+    rows = spark.sql(DAMAGED, f_line=frame(spark, sf_dir, "f_line"), part=frame(spark, sf_dir, "part"))
+    lines = V.cell_lines(rows, "invoice_id", ["code", "designation", "quantite"], "ocr", F.lit(0.7))
+    out = G.recovered_fields(lines, F.lit("2026-06-01").cast("date"))
+    return V.flat(out, ["designation", "quantite", "date_peremption", "nb_crt"], ["invoice_id", "line_no"]).select("invoice_id", "line_no", "designation", "quantite", "date_peremption", "nb_crt")
+
+
 @query(
     "t4_family_dispatch",
     ctes("f_line") + """, d AS (SELECT DISTINCT invoice_id, code, quantite, designation FROM f_line WHERE designation <> '' AND quantite <> '')
