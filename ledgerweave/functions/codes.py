@@ -50,6 +50,15 @@ def resolved(code: Column, code_pct: Column, code_article: Column) -> Column:
     return F.struct(primary.alias("primary"), mp.alias("mp"), article.alias("article"))
 
 
+#: Fixed value: how the reference tables compare texts, without regard to case and accents.
+COLLATION = "UNICODE_CI_AI"
+
+
+def collated(c: Column | str) -> Column:
+    """Q5: a text that joins, groups and compares as the reference tables do; it keeps its spelling."""
+    return F.collate(c, COLLATION)
+
+
 def invoice_key(number: Column, fallback: Column | None = None) -> Column:
     """``OCR-`` and the first 12 digits; without digits 1, or ``fallback`` if given."""
     digits = F.nullif(F.regexp_replace(number, r"\D", ""), F.lit(""))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.functions import codes
 from ledgerweave.operators import rollup
 
 
@@ -85,9 +88,10 @@ def audited(logs: DataFrame, severity: str | None, search: str) -> DataFrame:
 
 
 def history(invoices: DataFrame, metadata: DataFrame, alerts: DataFrame, owners: list[str]) -> DataFrame:
-    """Invoices of the owners with their metadata rows (one or more), open alerts and status counts."""
+    """Invoices of the owners with their metadata rows (one or more), open alerts and status counts. Owners
+    compare without regard to case and accents (Q5)."""
     open_alerts = alerts.where("not is_resolved").groupBy("invoice_id").agg(F.count("*").alias("open_alerts"))
-    own = invoices.where(F.col("owner").isin(*owners))
+    own = invoices.where(functools.reduce(lambda a, o: a | (codes.collated("owner") == codes.collated(F.lit(o))), owners, F.lit(False)))
     out = own.join(metadata, "invoice_id", "left").join(open_alerts, "invoice_id", "left")
     statuses = F.coalesce(F.transform(F.from_json("raw_json", "struct<product_lines:array<struct<validation_status:string>>>")["product_lines"], lambda l: l["validation_status"]), F.array().cast("array<string>"))
     out = out.withColumn("statuses", statuses).withColumn("open_alerts", F.coalesce("open_alerts", F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.functions import numbers
+from ledgerweave.functions import codes, numbers
 from ledgerweave.operators.reconcile import Settings
 from ledgerweave.sources import files
 
@@ -52,13 +52,15 @@ def submitted(batch: DataFrame, posted: DataFrame, current: DataFrame) -> tuple[
     """(accepted, rejected with reason) of a batch. The first submission of an invoice, by id, becomes active,
     so later ones of the batch meet an active submission.
 
-    Firsts are found by an aggregate, which combines before the shuffle: all invoices without a number share one key.
+    Invoice keys compare without regard to case and accents (Q5). Firsts are found by an aggregate, which combines before
+    the shuffle: all invoices without a number share one key.
     """
-    first = batch.groupBy("lib_facture").agg(F.min("submission_id").alias("__first"))
-    known = posted.select("lib_facture").distinct().withColumn("__posted", F.lit(True))
-    active = current.where(F.col("state").isin(*ACTIVE)).select("lib_facture").distinct().withColumn("__active", F.lit(True))
-    keys = first.join(known.hint("merge"), "lib_facture", "left").join(active.hint("merge"), "lib_facture", "left")
-    marked = batch.join(keys.hint("merge"), "lib_facture")
+    key = codes.collated("lib_facture").alias("__key")
+    first = batch.groupBy(key).agg(F.min("submission_id").alias("__first"))
+    known = posted.select(key).distinct().withColumn("__posted", F.lit(True))
+    active = current.where(F.col("state").isin(*ACTIVE)).select(key).distinct().withColumn("__active", F.lit(True))
+    keys = first.join(known.hint("merge"), "__key", "left").join(active.hint("merge"), "__key", "left")
+    marked = batch.withColumn("__key", codes.collated("lib_facture")).join(keys.hint("merge"), "__key").drop("__key")
     later = F.col("__active") | (F.col("submission_id") != F.col("__first"))
     reason = F.when(F.col("__posted"), "already posted").when(F.coalesce(later, F.col("submission_id") != F.col("__first")), "active submission exists")
     marked = marked.withColumn("reason", reason).drop("__posted", "__active", "__first")
@@ -127,9 +129,10 @@ def approved_batch(submissions: DataFrame, ok: Column, lines: DataFrame, article
     """(tables to post, events) of a batch of submissions: those that may be approved are posted and get the state
     ``posted`` with the id of their invoice. An invoice is posted once: not when it is in ``already``, and of several
     submissions by the first."""
-    first = Window.partitionBy("lib_facture").orderBy("submission_id")
-    able = submissions.where(ok).join(already.select("lib_facture").distinct(), "lib_facture", "left_anti")
-    able = able.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    key = codes.collated("lib_facture").alias("__key")
+    able = submissions.where(ok).withColumn("__key", codes.collated("lib_facture")).join(already.select(key).distinct().hint("merge"), "__key", "left_anti")
+    first = able.groupBy("__key").agg(F.min("submission_id").alias("submission_id"))
+    able = able.drop("__key").join(first.select("submission_id").hint("merge"), "submission_id", "left_semi")
     tables = posted_tables(able.select("invoice_id", "lib_facture", "stated_total"), lines, articles, already)
     events = able.select("submission_id", "lib_facture", F.lit("posted").alias("state")).join(tables["facture"], "lib_facture")
     return tables, events
@@ -141,7 +144,7 @@ def posted_tables(heads: DataFrame, lines: DataFrame, articles: DataFrame, alrea
     Ids come from a hash of the invoice key, so a rerun of the same batch makes the same rows; the metadata row is the
     commit marker and is written last. ``articles`` is the article dimension (``reconcile.articles``).
     """
-    todo = heads.join(already.select("lib_facture"), "lib_facture", "left_anti").withColumn("IDFacture", F.shiftrightunsigned(F.xxhash64("lib_facture"), 1))
+    todo = heads.withColumn("__key", codes.collated("lib_facture")).join(already.select(codes.collated("lib_facture").alias("__key")).distinct().hint("merge"), "__key", "left_anti").drop("__key").withColumn("IDFacture", F.shiftrightunsigned(F.xxhash64("lib_facture"), 1))
     own = lines.join(todo.select("invoice_id", "IDFacture"), "invoice_id")
     # one article for each code, so a line is posted once however often its code is in the table
     filled = own.join(articles.select(F.col("key").alias("__code"), F.col("a.IDArticle").alias("__id")), F.upper("code") == F.col("__code"), "left")

@@ -66,7 +66,7 @@ FROM f_invoice i LEFT JOIN c ON c.invoice_id = i.invoice_id LEFT JOIN a ON a.inv
 )
 def r10(spark, sf_dir):
     alerts = frame(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0").select(F.col("l_orderkey").alias("invoice_id"), (F.col("l_suppkey") % 2 == 1).alias("is_resolved"))
-    out = P.history(frame(spark, sf_dir, "f_invoice"), payloads(spark, sf_dir), alerts, ["user1", "user4"])
+    out = P.history(frame(spark, sf_dir, "f_invoice"), payloads(spark, sf_dir), alerts, ["USER1", "usér4"])
     return out.select("invoice_id", F.col("LibFacture").alias("lib_facture"), "owner", "open_alerts", "n_valid", "n_low_confidence", "n_price_mismatch", "n_unknown_product", "invoice_status")
 
 

@@ -73,6 +73,21 @@ def r5(spark, sf_dir):
     return W.notifications(_batch(spark, sf_dir)[0])
 
 
+@query(
+    "j4_j5_collated_rejects",
+    ctes("f_submission") + """, b AS (SELECT submission_id, lower(lib_facture) AS k, CASE submission_id % 3 WHEN 0 THEN lower(lib_facture) WHEN 1 THEN replace(lib_facture, 'O', 'Ó') ELSE lib_facture END AS lib_facture,
+  submission_id % 5 = 0 AS posted, submission_id % 5 = 1 AS active FROM f_submission), p AS (SELECT DISTINCT k FROM b WHERE posted), c AS (SELECT DISTINCT k FROM b WHERE active),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY submission_id) AS rn FROM b WHERE NOT posted AND NOT active)
+SELECT submission_id, r.lib_facture, CASE WHEN p.k IS NOT NULL THEN 'already posted' WHEN c.k IS NOT NULL OR rn > 1 THEN 'active submission exists' ELSE 'accepted' END AS decision FROM r LEFT JOIN p ON p.k = r.k LEFT JOIN c ON c.k = r.k""",
+)
+def j4_collated(spark, sf_dir):
+    """Keys in three spellings: OCR-1, ocr-1 and with an accent are one invoice."""
+    k = F.col("submission_id")
+    s = frame(spark, sf_dir, "f_submission").withColumn("lib_facture", F.when(k % 3 == 0, F.lower("lib_facture")).when(k % 3 == 1, F.replace("lib_facture", F.lit("O"), F.lit("Ó"))).otherwise(F.col("lib_facture")))
+    accepted, rejected = W.submitted(s.where(k % 5 > 1), s.where(k % 5 == 0), s.where(k % 5 == 1).withColumn("state", F.lit("held")))
+    return accepted.select("submission_id", "lib_facture", F.lit("accepted").alias("decision")).unionByName(rejected.select("submission_id", "lib_facture", F.col("reason").alias("decision")))
+
+
 SEQUENCE = ctes("f_submission") + """,
 posted AS (SELECT DISTINCT lib_facture FROM f_submission WHERE workflow_status = 'posted' AND submission_id % 3 = 0),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY lib_facture ORDER BY {order}) AS rn FROM f_submission),
