@@ -45,13 +45,19 @@ def looked_up(lines: DataFrame, dim: DataFrame, most: int = 200_000) -> DataFram
 
     The article code falls back to the primary code, the local code to a numeric primary. Candidate codes become
     join keys one at a time. A dimension of at most ``most`` rows, which are counted first, is broadcast, so the lines
-    stay where they are; a larger one is joined by sorted shuffles.
+    stay where they are; a larger one is joined by sorted shuffles, in which lines without a code of a kind are spread
+    instead of meeting under one empty key.
     """
-    dim = F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim.hint("merge")
+    small = dim.limit(most + 1).count() <= most
+    dim = F.broadcast(dim) if small else dim.hint("merge")
 
     def fetch(df: DataFrame, key: Column, name: str) -> DataFrame:
         side = dim.select(F.col("key").alias(f"__{name}"), F.col("a").alias(name))
-        return df.join(side, key == F.col(f"__{name}"), "left").drop(f"__{name}")
+        if not small:
+            # no code begins with this character
+            df = df.withColumn("__key", F.coalesce(key, F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("string"))))
+            key = F.col("__key")
+        return df.join(side, key == F.col(f"__{name}"), "left").drop(f"__{name}", "__key")
 
     c = F.col("codes")
     out = fetch(lines, F.nullif(c["article"], F.lit("")), "by_article")

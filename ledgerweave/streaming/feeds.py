@@ -35,19 +35,24 @@ def each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: s
     return spark.read.parquet(path).drop("batch")
 
 
-def each_upload(stream: DataFrame, key: str, job: Callable[[DataFrame], DataFrame], path: str, out_key: str) -> DataFrame:
+def each_upload(stream: DataFrame, key: str, job: Callable[[DataFrame], DataFrame], path: str, out_key: str, buckets: int = 256) -> DataFrame:
     """Runs ``job`` on every upload that a micro-batch touches, with all of its rows that have come so far.
 
-    Rows are recorded by batch; a batch reruns its uploads whole and writes its own folder, so an upload split over
-    batches or a replayed batch counts once. Read back is each upload as its newest batch left it.
+    Rows are recorded by batch and by a hash of the upload's key; a batch reads only the folders of the hashes that it
+    touches, reruns its uploads whole and writes its own folder, so an upload split over batches or a replayed batch counts
+    once. Read back is each upload as its newest batch left it.
     """
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        recorded = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/rows").where(F.col("batch") <= number)
-        touched = recorded.where(F.col("batch") == number).select(key).distinct()
-        job(recorded.drop("batch").join(touched.hint("merge"), key, "left_semi")).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+        hashed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        hashed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        kind = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+        recorded = spark.read.schema(kind).parquet(f"{path}/rows")
+        mine = recorded.where(F.col("batch") == number)
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        so_far = recorded.where((F.col("batch") <= number) & F.col("bucket").isin(touched)).drop("batch", "bucket")
+        job(so_far.join(mine.select(key).distinct().hint("merge"), key, "left_semi")).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
 
     stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
     done = spark.read.parquet(f"{path}/result")

@@ -153,6 +153,14 @@ def test_document_texts(spark, zone, want):
     assert files.document_texts(pages, "doc").first().text == want
 
 
+def test_large_dimensions_give_the_same_articles(spark):
+    dim = R.articles(spark.createDataFrame([(i, f"3000{i:02d}", "P", 1.0) for i in range(30)] + [(99, "PF00000001", "Q", 2.0)], "IDArticle int, Code string, LibProd string, PrixAchat double"))
+    rows = [(i, f"3000{i:02d}" if i % 3 else "", "" if i % 4 else f"3000{(i + 1) % 30:02d}", "PF00000001" if i % 5 == 0 else "") for i in range(60)]
+    own = spark.createDataFrame(rows, "i int, code string, code_pct string, code_article string").withColumn("codes", codes.resolved(F.col("code"), F.col("code_pct"), F.col("code_article")))
+    small, large = ([tuple(r) for r in R.looked_up(own, dim, most).orderBy("i").collect()] for most in (1000, 3))
+    assert small == large and len({str(r) for r in small}) == 60
+
+
 def test_invoice_status_truth_table(spark):
     """Open alerts and price gaps, then low confidence and unknown products; unchecked lines change nothing."""
     cases = list(itertools.product([0, 2], repeat=5))
