@@ -165,10 +165,11 @@ def m1(spark, sf_dir):
 @query(
     "d1_date_texts",
     """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed, strftime(o_orderdate, '%d/%m/%Y') AS repaired,
-  CASE WHEN year(o_orderdate) > 1996 THEN NULL WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS validated FROM orders""",
+  CASE WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN year(o_orderdate) > 1997 THEN NULL ELSE strftime(o_orderdate, '%m/%d/%Y') END AS validated FROM orders""",
 )
 def d1(spark, sf_dir):
-    """D1-D3 for every order; a month-first text is set right only where the day shows the order (above 12)."""
+    """D1-D3 for every order; a month-first text is set right only where the day shows the order (above 12),
+    whatever its year; other dates may lie in the next year at most."""
     own = frame(spark, sf_dir, "orders")
     formats = [F.date_format("o_orderdate", f) for f in ("dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")]
     written = F.element_at(F.array(*formats), (F.col("o_orderkey") % 3 + 1).cast("int"))
