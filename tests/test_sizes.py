@@ -1,9 +1,13 @@
 """Steps whose rows, files or groups must not grow with the tables."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerweave import registry
 from ledgerweave.operators import benchmark as B
 from ledgerweave.plans import quality
+from test_queries import SF, TABLES, plain
 
 
 def test_truth_files_hold_few_cases_however_many_there_are(spark, monkeypatch):
@@ -12,3 +16,23 @@ def test_truth_files_hold_few_cases_however_many_there_are(spark, monkeypatch):
     quality._written_cases(spark, "/root/testdata/sf0.01")
     truth = read[0].select("path", F.size(F.expr("variant_get(v, '$.cases', 'array<variant>')")).alias("n")).collect()
     assert sum(r.n for r in truth) == 150 and max(r.n for r in truth) <= quality.CASES_A_FILE
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """The smallest tables with part keys from 99,900 on, so that codes of every eleventh invoice reach seven digits."""
+    root, c = tmp_path_factory.mktemp("large-keys"), duckdb.connect()
+    for t in TABLES:
+        shifted = {"part": "replace (p_partkey + 99900 as p_partkey)", "lineitem": "replace (l_partkey + 99900 as l_partkey)"}.get(t, "")
+        c.sql(f"copy (select * {shifted} from '{SF}/{t}.parquet') to '{root}/{t}.parquet' (format parquet)")
+        c.sql(f"create view {t} as select * from '{root}/{t}.parquet'")
+    return str(root), c
+
+
+@pytest.mark.parametrize("name", ["a22_row_alignment", "j20_header_mapping", "t14_rejected_rows", "t14_table_lines", "t9_quantity_recovery", "j9_gap_filled_lines"])
+def test_codes_of_seven_digits(spark, large_keys, name):
+    root, c = large_keys
+    frame = registry.queries()[name](spark, root)
+    rel = c.sql(registry.oracle_sql()[name])
+    rows = sorted(tuple(map(plain, r)) for r in frame.select(*sorted(frame.columns)).collect())
+    assert rows == sorted(tuple(map(plain, r)) for r in rel.select(*[f'"{n}"' for n in sorted(rel.columns)]).fetchall())
