@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import registry
 from ledgerweave.operators import benchmark as B
+from ledgerweave.operators import shapes
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
 
@@ -36,3 +37,10 @@ def test_codes_of_seven_digits(spark, large_keys, name):
     rel = c.sql(registry.oracle_sql()[name])
     rows = sorted(tuple(map(plain, r)) for r in frame.select(*sorted(frame.columns)).collect())
     assert rows == sorted(tuple(map(plain, r)) for r in rel.select(*[f'"{n}"' for n in sorted(rel.columns)]).fetchall())
+
+
+def test_a_second_pass_of_mirrored_quantities_is_not_written_out_inside_the_first(spark):
+    rows = spark.createDataFrame([(1, " 7,0", None, None), (2, None, "x", None), (3, "", "", "1.5")], "i int, quantite string, quantite_commande string, qty string")
+    out = shapes.mirrored(shapes.mirrored(rows))
+    assert [(r.quantite, r.qty) for r in out.orderBy("i").collect()] == [("7", "7"), ("x", "x"), ("1.5", "1.5")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("99999") <= 4
