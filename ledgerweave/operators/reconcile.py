@@ -81,16 +81,17 @@ def reconcile(lines: DataFrame, dim: DataFrame, settings: Settings | None = None
     confidence, line_confidence, field_confidence (map), doc_type, invoice_family; all else is passed through.
     """
     settings = settings or Settings()
-    found = looked_up(lines.withColumn("codes", codes.resolved(F.col("code"), F.col("code_pct"), F.col("code_article"))), dim)
-    ref, c = F.col("ref"), F.col("codes")
-    known = ref.isNotNull()
-    # named step by step, so that each rule is computed once
-    found = found.withColumns(
+    # named step by step, so that each rule is computed once; what only the line decides comes before the lookups, so that
+    # texts that the result does not show are not moved
+    own = lines.withColumns(
         {
-            "__order": text.is_order(F.col("doc_type"), F.col("invoice_family")), "__read": numbers.price_of_number(F.coalesce("price_unit", "prix_unitaire")),
-            "__qty": numbers.price_of_text(F.col("quantite")), "__blank": text.stripped(F.col("designation")) == "",
+            "codes": codes.resolved(F.col("code"), F.col("code_pct"), F.col("code_article")), "__order": text.is_order(F.col("doc_type"), F.col("invoice_family")),
+            "__read": numbers.price_of_number(F.coalesce("price_unit", "prix_unitaire")), "__qty": numbers.price_of_text(F.col("quantite")), "__blank": text.stripped(F.col("designation")) == "",
         }
     )
+    found = looked_up(own, dim)
+    ref, c = F.col("ref"), F.col("codes")
+    known = ref.isNotNull()
     order, read, blank = F.col("__order"), F.col("__read"), F.col("__blank")
     found = found.withColumn("__fill", F.coalesce(read.isNull() & known & (order | numbers.price_of_number(F.col("prix_unitaire")).isNull()), F.lit(False)))
     fill, has_qty = F.col("__fill"), F.col("__qty").isNotNull()
