@@ -39,6 +39,21 @@ def test_codes_of_seven_digits(spark, large_keys, name):
     assert rows == sorted(tuple(map(plain, r)) for r in rel.select(*[f'"{n}"' for n in sorted(rel.columns)]).fetchall())
 
 
+def test_legacy_lines_with_codes_of_seven_digits(spark, large_keys):
+    test_codes_of_seven_digits(spark, large_keys, "t12_legacy_lines")
+
+
+def test_legacy_lines_with_parts_beyond_key_300000(spark, tmp_path):
+    """Codes of six and of seven digits, whose parts are not among the first 300,000."""
+    c = duckdb.connect()
+    for t in TABLES:
+        shifted = {"part": "replace (p_partkey + 699900 as p_partkey)", "lineitem": "replace (l_partkey + 699900 as l_partkey)"}.get(t, "")
+        c.sql(f"copy (select * {shifted} from '{SF}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    test_codes_of_seven_digits(spark, (str(tmp_path), c), "t12_legacy_lines")
+    assert registry.queries()["t12_legacy_lines"](spark, str(tmp_path)).count() == 6000
+
+
 def test_a_second_pass_of_mirrored_quantities_is_not_written_out_inside_the_first(spark):
     rows = spark.createDataFrame([(1, " 7,0", None, None), (2, None, "x", None), (3, "", "", "1.5")], "i int, quantite string, quantite_commande string, qty string")
     out = shapes.mirrored(shapes.mirrored(rows))
