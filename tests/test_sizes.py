@@ -1,10 +1,13 @@
 """Steps whose rows, files or groups must not grow with the tables."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave import registry
+from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
 from ledgerweave.operators import shapes
 from ledgerweave.plans import quality
@@ -59,3 +62,13 @@ def test_a_second_pass_of_mirrored_quantities_is_not_written_out_inside_the_firs
     out = shapes.mirrored(shapes.mirrored(rows))
     assert [(r.quantite, r.qty) for r in out.orderBy("i").collect()] == [("7", "7"), ("x", "x"), ("1.5", "1.5")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("99999") <= 4
+
+
+def test_a_long_designation_is_read_once(spark):
+    """40,000 words up to one dosage: the work must not grow with the square of their number."""
+    long = "AMOX " + "WORD " * 40_000
+    rows = spark.createDataFrame([(long + "10 MG zz",), (long + "10 MG B/30 COMP TAIL GELULE 7",)], "d string")
+    began = time.time()
+    got = [r[0] for r in rows.select(fuzzy.clean_designation(F.col("d"), F.lit(""), F.lit(False), F.lit(""))).collect()]
+    assert got == [long + "10 MG", long + "10 MG B/30 COMP"]
+    assert time.time() - began < 20
