@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave import registry
 from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
-from ledgerweave.operators import shapes
+from ledgerweave.operators import gate, shapes
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
 
@@ -72,3 +72,11 @@ def test_a_long_designation_is_read_once(spark):
     got = [r[0] for r in rows.select(fuzzy.clean_designation(F.col("d"), F.lit(""), F.lit(False), F.lit(""))).collect()]
     assert got == [long + "10 MG", long + "10 MG B/30 COMP"]
     assert time.time() - began < 20
+
+
+def test_gate_codes_are_worked_out_once(spark):
+    names = ["code_pct", "code_article", "designation", "quantite", "prix_unitaire", "montant", "doc_type"]
+    rows = spark.createDataFrame([("ff-ooo12", "12345", "VITAMINE 5000 UI AMP", "5000", "", "", ""), ("", "1234567", "AMOX 7 COMP", "7", "2", "14", "Proforma")], ", ".join(f"{n} string" for n in names))
+    out = gate.checked(rows)
+    assert [(r.code_pct, r.code_article, r.quantite, r.montant) for r in out.orderBy("code_pct").collect()] == [("1234567", "", 7.0, 14.0), ("PF00012", "", None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("OISB") == 2
