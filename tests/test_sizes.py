@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave import registry
 from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
-from ledgerweave.operators import gate, shapes
+from ledgerweave.operators import gate, shapes, tables
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
 
@@ -80,3 +80,12 @@ def test_gate_codes_are_worked_out_once(spark):
     out = gate.checked(rows)
     assert [(r.code_pct, r.code_article, r.quantite, r.montant) for r in out.orderBy("code_pct").collect()] == [("1234567", "", 7.0, 14.0), ("PF00012", "", None, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("OISB") == 2
+
+
+def test_words_of_a_page_meet_its_header_in_one_join(spark):
+    words = [(1, 50, 107, "Code"), (1, 340, 107, "Désignation Жж"), (1, 345, 108, "Désignation"), (1, 690, 107, "Qté"), (1, 60, 130, "300001"), (1, 700, 131, "7"), (1, 330, 131, "DRUG"), (1, 320, 131, "SOME"), (1, 2000, 131, "far"), (2, 50, 107, "Code"), (2, 60, 130, "8")]
+    rows = spark.createDataFrame([*words, (1, 50, None, "Code"), (1, 340, None, "Qté")], "page int, left int, top int, text string")
+    out = tables.word_rows(rows, ["page"])
+    assert sorted(map(tuple, out.collect())) == [(1, 120, "code_pct", "300001"), (1, 120, "designation", "SOME DRUG"), (1, 120, "quantite", "7")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("[^a-z0-9 ]") == 1
