@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,31 +41,46 @@ def articles(raw: DataFrame) -> DataFrame:
     return last.select("key", "a")
 
 
-def looked_up(lines: DataFrame, dim: DataFrame, most: int = 200_000) -> DataFrame:
+def looked_up(lines: DataFrame, dim: DataFrame, most: int = 200_000, several: Column | None = None) -> DataFrame:
     """Adds ``ref`` (article found), ``mp_found`` and ``article_found``; needs the struct column ``codes``.
 
-    The article code falls back to the primary code, the local code to a numeric primary. Candidate codes become
-    join keys one at a time. A dimension of at most ``most`` rows, which are counted first, is broadcast, so the lines
-    stay where they are; a larger one is joined by sorted shuffles, in which lines without a code of a kind are spread
-    instead of meeting under one empty key.
+    The article code falls back to the primary code, the local code to a numeric primary. A dimension of at most ``most``
+    rows, which are counted first, is broadcast, so the lines stay where they are. With a larger one every line moves once:
+    a local or article code that equals the primary code adds nothing, so most lines need their primary code only. Lines
+    with other codes besides are filtered out, their distinct groups of codes are looked up kind by kind, and join the
+    dimension's own rows. Lines without a code are spread instead of meeting under one empty key. ``several`` may rule
+    lines out before that by a plainer test.
     """
-    small = dim.limit(most + 1).count() <= most
-    dim = F.broadcast(dim) if small else dim.hint("merge")
-
-    def fetch(df: DataFrame, key: Column, name: str) -> DataFrame:
-        side = dim.select(F.col("key").alias(f"__{name}"), F.col("a").alias(name))
-        if not small:
-            # no code begins with this character
-            df = df.withColumn("__key", F.coalesce(key, F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("string"))))
-            key = F.col("__key")
-        return df.join(side, key == F.col(f"__{name}"), "left").drop(f"__{name}", "__key")
-
-    c = F.col("codes")
-    out = fetch(lines, F.nullif(c["article"], F.lit("")), "by_article")
-    out = fetch(out, F.nullif(c["mp"], F.lit("")), "by_mp")
-    out = fetch(out, F.nullif(c["primary"], F.lit("")), "by_primary")
+    if dim.limit(most + 1).count() <= most:
+        return _fetched(lines, F.broadcast(dim))
+    other = {k: F.when(F.col(f"codes.{k}") == F.col("codes.primary"), "").otherwise(F.col(f"codes.{k}")) for k in CODES[1:]}
+    # no code begins with this character
+    spread = F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("string"))
+    keyed = lines.withColumns({f"__{k}": c for k, c in other.items()} | {"__primary": F.coalesce(F.nullif(F.col("codes.primary"), F.lit("")), spread)})
+    # pushed below whatever made the lines, this filter still works out the codes once
+    differ = numbers._let(F.col("codes"), lambda c: reduce(Column.__or__, [(c[k] != "") & (c[k] != c["primary"]) for k in CODES[1:]]))
+    mixed = lines.where(differ if several is None else several & differ).select(F.col("codes.primary"), *[c.alias(k) for k, c in other.items()]).distinct()
+    groups = _fetched(mixed.select(F.struct(*CODES).alias("codes")), dim.hint("merge")).select(*[F.col(f"codes.{k}") for k in CODES], *FOUND)
+    alone = dim.select(F.col("key").alias("primary"), F.lit("").alias("mp"), F.lit("").alias("article"), F.col("a").alias("ref"), codes.is_local_code(F.col("key")).alias("mp_found"), F.lit(True).alias("article_found"))
+    side = alone.unionAll(groups).withColumnsRenamed({k: f"of_{k}" for k in CODES}).hint("merge")
+    out = keyed.join(side, reduce(Column.__and__, [F.col(f"__{k}") == F.col(f"of_{k}") for k in CODES]), "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in FOUND[1:]}).drop(*[f"{p}_{k}" for k in CODES for p in ("_", "of")])
+
+
+#: Fields of the struct of codes, and what a lookup adds.
+CODES, FOUND = ("primary", "mp", "article"), ("ref", "mp_found", "article_found")
+
+
+def _fetched(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    """Each kind of code meets the dimension in a join of its own, by the strategy that ``dim`` is marked with."""
+
+    def fetch(df: DataFrame, code: str) -> DataFrame:
+        side = dim.select(F.col("key").alias("__key"), F.col("a").alias(f"by_{code}"))
+        return df.join(side, F.nullif(F.col(f"codes.{code}"), F.lit("")) == F.col("__key"), "left").drop("__key")
+
+    out = reduce(fetch, ("article", "mp", "primary"), rows)
     article = F.coalesce("by_article", "by_primary")
-    mp = F.coalesce("by_mp", F.when(codes.is_local_code(c["primary"]), F.col("by_primary")))
+    mp = F.coalesce("by_mp", F.when(codes.is_local_code(F.col("codes.primary")), F.col("by_primary")))
     return out.withColumns({"ref": F.coalesce(article, mp), "mp_found": mp.isNotNull(), "article_found": article.isNotNull()}).drop("by_article", "by_mp", "by_primary")
 
 
@@ -89,7 +105,8 @@ def reconcile(lines: DataFrame, dim: DataFrame, settings: Settings | None = None
             "__read": numbers.price_of_number(F.coalesce("price_unit", "prix_unitaire")), "__qty": numbers.price_of_text(F.col("quantite")), "__blank": text.stripped(F.col("designation")) == "",
         }
     )
-    found = looked_up(own, dim)
+    code, pct, art = (codes.upper_trim(F.col(k)) != "" for k in ("code", "code_pct", "code_article"))
+    found = looked_up(own, dim, several=(code & pct) | (code & art) | (pct & art))
     ref, c = F.col("ref"), F.col("codes")
     known = ref.isNotNull()
     order, read, blank = F.col("__order"), F.col("__read"), F.col("__blank")

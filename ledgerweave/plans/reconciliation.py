@@ -14,9 +14,12 @@ from ledgerweave.registry import query
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their invoice's document type, in the shape that reconciliation reads."""
-    inv = frame(spark, sf_dir, "f_invoice").select("invoice_id", "doc_type")
+    return shaped(frame(spark, sf_dir, "f_typed_line"))
+
+
+def shaped(lines: DataFrame) -> DataFrame:
     none = F.lit(None)
-    return frame(spark, sf_dir, "f_line").join(inv, "invoice_id").withColumns(
+    return lines.withColumns(
         {"code_pct": F.lit(""), "code_article": F.lit(""), "price_unit": none.cast("double"), "confidence": none.cast("double"), "field_confidence": none.cast("map<string,double>"), "invoice_family": F.lit("")}
     )
 

@@ -51,11 +51,17 @@ def each_upload(stream: DataFrame, key: str, job: Callable[[DataFrame], DataFram
         recorded = spark.read.schema(kind).parquet(f"{path}/rows")
         mine = recorded.where(F.col("batch") == number)
         touched = [r.bucket for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        so_far = recorded.where((F.col("batch") <= number) & F.col("bucket").isin(touched)).drop("batch", "bucket")
-        job(so_far.join(mine.select(key).distinct().hint("merge"), key, "left_semi")).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+        # the batch's own rows stay where they are; only what earlier batches left of its uploads is looked for
+        earlier = recorded.where((F.col("batch") < number) & F.col("bucket").isin(touched)).drop("batch", "bucket")
+        so_far = mine.drop("batch", "bucket")
+        if not earlier.isEmpty():
+            so_far = so_far.unionAll(earlier.join(mine.select(key).distinct().hint("merge"), key, "left_semi").select(*so_far.columns))
+        job(so_far).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
 
     stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
     done = spark.read.parquet(f"{path}/result")
+    if len(done.select("batch").distinct().take(2)) < 2:
+        return done.drop("batch")
     newest = done.groupBy(out_key).agg(F.max("batch").alias("batch"))
     return done.join(newest.hint("merge"), [out_key, "batch"], "left_semi").drop("batch")
 
