@@ -33,3 +33,11 @@ def test_lines_move_once(spark):
     joined = [x for x in plan.splitlines() if "Join LeftOuter" in x]
     holders = [i for i, x in enumerate(plan.splitlines()) if "Join LeftOuter" in x and "payload" in "".join(plan.splitlines()[i:i + 3])]
     assert len(joined) == 4 and len(holders) == 1
+
+
+def test_money_texts_are_written_once(spark):
+    """The grouped text of m1 is one column, not written out again inside every rule that reads it."""
+    from ledgerweave import registry
+
+    plan = registry.queries()["m1_money_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=\\d)(?=(\\d{3})+,)") == 1
