@@ -89,3 +89,14 @@ def test_words_of_a_page_meet_its_header_in_one_join(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 120, "code_pct", "300001"), (1, 120, "designation", "SOME DRUG"), (1, 120, "quantite", "7")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("[^a-z0-9 ]") == 1
+
+
+def test_a_written_type_label_is_not_measured(monkeypatch):
+    """The first label written in an opening fits by 1; only other openings are held against all windows."""
+    called = []
+    monkeypatch.setattr(fuzzy, "window_ratios", lambda n, t, of=fuzzy.window_ratios: called.extend(t) or of(n, t))
+    odd = "une FACTUR nurnero 12 de mars"
+    texts = ["le bon de commande et la facture 7", "FACTURE: incoterms du mois", odd, "facture", ""]
+    kinds, scores = fuzzy.type_of_texts(texts)
+    assert odd.lower() in called and not {"le bon de commande et la facture 7", "facture  incoterms du mois"} & set(called)
+    assert kinds == ["Bon de Commande", "Proforma", "Facture", "Facture", "Document"] and list(scores[[0, 1, 3, 4]]) == [1.0, 1.0, 1.0, 0.0]
