@@ -37,28 +37,35 @@ def header_fields(lines: DataFrame, doc: str) -> DataFrame:
     """
     w = Window.partitionBy(doc).orderBy("line_no")
     raw = F.col("raw_line")
-    marked = lines.withColumns(
-        {"__next": F.lead("raw_line").over(w), "__h1": F.lag("raw_line", 1).over(w), "__h2": F.lag("raw_line", 2).over(w), "__rn": F.row_number().over(w)}
+    marked = lines.withColumn("__heading", like(raw, HEADING))
+    marked = marked.withColumns(
+        {"__next": F.lead("raw_line").over(w), "__h1": F.lag("__heading", 1, False).over(w), "__h2": F.lag("__heading", 2, False).over(w), "__rn": F.row_number().over(w)}
     )
-    under = F.coalesce(like(F.col("__h1"), HEADING), F.lit(False)) | F.coalesce(like(F.col("__h2"), HEADING), F.lit(False))
-    pair = F.regexp_replace(F.regexp_extract(raw, r"\b(\d{3,6}\s*/\s*\d{4})\b", 1), r"\s+", "")
-    big = F.regexp_extract(pair, r"^(\d+)/", 1).try_cast("int") > 12
-    numero = F.when(big, pair)
-    coded = F.nullif(F.upper(F.regexp_extract(raw, r"(?i)\b(BC[NM]-[A-Z0-9]{2}-\d{4}|[A-Z]{2,8}-[A-Z]{2,8}-[A-Z0-9]{4,12})\b", 1)), F.lit(""))
+    under = F.col("__h1") | F.col("__h2")
+    # a pattern runs only on lines with a character that all its matches hold
+    slashed, dashed = F.contains(raw, F.lit("/")), F.contains(raw, F.lit("-"))
+    pair = F.nullif(F.regexp_replace(F.regexp_extract(raw, r"\b(\d{3,6}\s*/\s*\d{4})\b", 1), r"\s+", ""), F.lit(""))
+    # a cast of a blank text costs an exception a line, so the number in front is cast only where there is one
+    numero = F.when(slashed & (F.substring_index(pair, "/", 1).try_cast("int") > 12), pair)
+    coded = F.when(dashed, F.nullif(F.upper(F.regexp_extract(raw, r"(?i)\b(BC[NM]-[A-Z0-9]{2}-\d{4}|[A-Z]{2,8}-[A-Z]{2,8}-[A-Z0-9]{4,12})\b", 1)), F.lit("")))
+    day, named = like(raw, r"\d[/\-.]\d"), like(raw, r"(?i)(?=[tfdr])(?:T[eé]l|Fax|Date|R\.?C)")
     dated = F.nullif(F.regexp_extract(raw, r"(?i)Date\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(raw, r"\b(\d{2}[/\-.]\d{2}[/\-.]\d{4})\b", 1), F.lit(""))
-    mf = codes.tax_id(F.regexp_extract(raw, TAX_ID, 1))
+    mf = F.when(like(raw, r"\d{3}"), numbers._let(F.regexp_extract(raw, TAX_ID, 1), lambda t: F.when(t != "", codes.tax_id(t))))
     at = F.when(like(raw, r"(?i)^\s*m\.?\s*f\.?\s*[:\-]"), 0.0).otherwise((F.regexp_instr(raw, F.lit(TAX_ID)) - 1) / F.length(raw))
-    company = like(raw, COMPANY) & ~like(raw, NOT_COMPANY) & (F.col("__rn") <= 12)
-    plain = ~like(raw, NOT_COMPANY) & like(raw, r"[A-Za-z]{3,}") & like(raw, r"\S\s+\S") & ~like(raw, r"^([A-Z]{2,4}\d|\d)") & (F.col("__rn") <= 6)
+    company = (F.col("__rn") <= 12) & ~like(raw, NOT_COMPANY) & like(raw, COMPANY)
+    plain = (F.col("__rn") <= 6) & ~like(raw, NOT_COMPANY) & like(raw, r"[A-Za-z]{3,}") & like(raw, r"\S\s+\S") & ~like(raw, r"^([A-Z]{2,4}\d|\d)")
     nxt = F.col("__next")
     block = F.concat_ws(" — ", raw, F.when(~like(nxt, NOT_ADDRESS) & F.length(nxt).between(5, 99), nxt))
     address = F.when(like(raw, ADDRESS) & ~like(block, r"(?i)\b(tel|t[eé]l|fax|email)\b|@"), F.left(block, F.lit(120)))
     fields = {
-        "n1": F.when(under, F.coalesce(numero, coded)), "n2": coded, "n3": numero, "d1": dated, "d2": bare, "f1": F.when(company, F.left(raw, F.lit(120))), "f2": F.when(plain, F.left(raw, F.lit(120))),
-        "adresse": address, "tel": text.phone(raw), "fax": text.fax(raw), "email": text.email(raw), "rc": text.trade_register(raw), "mf": mf, "mf_at": F.when(mf.isNotNull(), at),
+        "n1": F.when(under, F.coalesce(numero, coded)), "n2": coded, "n3": numero, "d1": F.when(named & day, dated), "d2": F.when(day, bare), "f1": F.when(company, F.left(raw, F.lit(120))), "f2": F.when(plain, F.left(raw, F.lit(120))),
+        "adresse": address, "tel": F.when(named, text.phone(raw)), "fax": F.when(named, text.fax(raw)), "email": F.when(F.contains(raw, F.lit("@")), text.email(raw)), "rc": F.when(named, text.trade_register(raw)), "mf": mf, "mf_at": F.when(mf.isNotNull(), at),
     }
-    seen = marked.select(doc, "line_no", *[c.alias(k) for k, c in fields.items()])
+    seen = marked.select(doc, "line_no", "__rn", *[c.alias(k) for k, c in fields.items()])
+    # a line that shows no field goes, save the first of each document; the explode keeps that filter above the rules
+    shown = seen.select(doc, "line_no", "__rn", F.inline(F.array(F.struct(*fields))))
+    seen = shown.where((F.col("__rn") == 1) | F.coalesce(*[c for c in fields if c != "mf_at"]).isNotNull())
 
     def first(c: str) -> Column:
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))

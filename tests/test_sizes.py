@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave import registry
 from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
-from ledgerweave.operators import gate, shapes, tables
+from ledgerweave.operators import gate, headers, shapes, tables
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
 
@@ -91,6 +91,17 @@ def test_words_of_a_page_meet_its_header_in_one_join(spark):
     assert plan.count("Join ") == 1 and plan.count("[^a-z0-9 ]") == 1
 
 
+def test_a_line_meets_each_header_pattern_once(spark):
+    """Headings are looked for in a line, not again in each of its neighbours; lines that show no field do not reach the aggregate."""
+    rows = [(1, 0, "Bon de commande"), (1, 1, "000123 / 2024"), (1, 2, "Date : 01/02/2024"), (1, 3, "M.F: 1234567A/P/M/000"), (1, 4, "E-mail a.b@c.com Fax 71 222 333"), (1, 5, "12 / 2024"), (2, 0, "??")]
+    out = headers.header_fields(spark.createDataFrame(rows, "doc int, line_no int, raw_line string"), "doc")
+    got = {r.doc: r for r in out.collect()}
+    assert tuple(got[1]) == (1, "000123/2024", "01/02/2024", "Bon de commande", None, None, "71222333", "a.b@c.com", None, "1234567A/P/M/000", None)
+    assert tuple(got[2]) == (2, *[None] * 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"commande\b|facture") == 1 and "CASE WHEN (__rn" not in plan and "Filter ((__rn" in plan
+
+
 def test_a_written_type_label_is_not_measured(monkeypatch):
     """The first label written in an opening fits by 1; only other openings are held against all windows."""
     called = []
