@@ -10,6 +10,7 @@ from ledgerweave import registry
 from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
 from ledgerweave.operators import gate, headers, shapes, tables
+from ledgerweave.operators import lines as L
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
 
@@ -111,3 +112,11 @@ def test_a_written_type_label_is_not_measured(monkeypatch):
     kinds, scores = fuzzy.type_of_texts(texts)
     assert odd.lower() in called and not {"le bon de commande et la facture 7", "facture  incoterms du mois"} & set(called)
     assert kinds == ["Bon de Commande", "Proforma", "Facture", "Facture", "Document"] and list(scores[[0, 1, 3, 4]]) == [1.0, 1.0, 1.0, 0.0]
+
+
+def test_a_proforma_line_is_read_once_by_each_pattern(spark):
+    lines = ["300001 PF000000012 DMAX U  UML 7 1 234,56 17 567,89", "12,5 300001 ff12345 - NAME 10 MG B/30", "300002 PF00001 3 1,5 4,50", "300003 PF00001 ", "300001 12 NAME 7"]
+    out = L.proforma_lines(spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc int, line_no int, raw_line string"), "doc")
+    got = [(r.code_pct, r.code_article, r.designation, r.quantite, r.prix_unitaire, r.montant, r.line_confidence) for r in out.orderBy("line_no").collect()]
+    assert got == [("300001", "PF000000012", "DMAX U UML", "7", "1234,56", "17567,89", 0.85), ("300001", "PF12345", "NAME 10 MG B/30", "", "", "", 0.28), ("300002", "PF00001", "", "3", "1,5", "4,50", 0.85)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(.*?)") == 1
