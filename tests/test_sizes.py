@@ -120,3 +120,30 @@ def test_a_proforma_line_is_read_once_by_each_pattern(spark):
     got = [(r.code_pct, r.code_article, r.designation, r.quantite, r.prix_unitaire, r.montant, r.line_confidence) for r in out.orderBy("line_no").collect()]
     assert got == [("300001", "PF000000012", "DMAX U UML", "7", "1234,56", "17567,89", 0.85), ("300001", "PF12345", "NAME 10 MG B/30", "", "", "", 0.28), ("300002", "PF00001", "", "3", "1,5", "4,50", 0.85)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("(.*?)") == 1
+
+
+def _table(spark):
+    """Two tables: one with a repeated column number, a price in a column without a name and a row of blanks, one without rows."""
+    heads = [(0, "Code PCT"), (1, "Désignation"), (2, "Qté"), (3, "P.U."), (4, "Note"), (4, "?"), (5, None)]
+    rows = [(1, [(0, "300001"), (1, "DRUG 10 MG"), (2, "7"), (3, " "), (4, "12,50")]), (2, [(0, ""), (2, " "), (5, None)]), (3, [(0, "300002"), (1, " OTHER "), (2, ""), (4, "9")])]
+    cells = [(t, 0, c, v) for t in (1, 2) for c, v in heads] + [(1, r, c, v) for r, own in rows for c, v in own]
+    return spark.createDataFrame(cells, "t int, row_idx int, col_idx int, text string")
+
+
+def test_headers_that_tables_share_are_scored_once(spark):
+    out = tables.mapped_headers(_table(spark), ["t"], ("code_pct", "designation"))
+    names = ["code_pct", "designation", "quantity", "unit_price"]
+    assert sorted((r.t, r.col_idx, r.name) for r in out.collect()) == [(t, i, n) for t in (1, 2) for i, n in enumerate(names)]
+    assert {(r.col_idx, r.score) for r in out.where("t = 2").collect()} == {(0, 1.08), (1, 1.08), (2, 1.0), (3, 1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "intersect" not in plan and "[^a-z0-9 ]" not in plan
+
+
+def test_cells_are_held_against_a_blank_name_once(spark):
+    heads = spark.createDataFrame([(1, i, n, 1.0) for i, n in enumerate(("code_pct", "designation", "quantity", "unit_price"))], "t int, col_idx int, name string, score double")
+    out = tables.realigned(_table(spark), ["t"], heads)
+    got = {r.row_idx: (r.named, r.row_text, r.alignment) for r in out.collect()}
+    assert got[1] == ({"code_pct": "300001", "designation": "DRUG 10 MG", "quantity": "7", "unit_price": "12,50"}, "300001 DRUG 10 MG 7   12,50", 1.0)
+    assert got[3] == ({"code_pct": "300002", "designation": "OTHER", "quantity": "9", "unit_price": ""}, "300002  OTHER   9", 0.75) and len(got) == 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("conditionnement") == 0
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("^[A-Za-z]{1,5}$") <= 2
