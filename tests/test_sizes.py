@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave import registry
 from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
-from ledgerweave.operators import gate, headers, shapes, tables
+from ledgerweave.operators import gate, headers, legacy, shapes, tables
 from ledgerweave.operators import lines as L
 from ledgerweave.plans import quality
 from test_queries import SF, TABLES, plain
@@ -147,3 +147,12 @@ def test_cells_are_held_against_a_blank_name_once(spark):
     assert got[3] == ({"code_pct": "300002", "designation": "OTHER", "quantity": "9", "unit_price": ""}, "300002  OTHER   9", 0.75) and len(got) == 2
     assert out._jdf.queryExecution().optimizedPlan().toString().count("conditionnement") == 0
     assert out._jdf.queryExecution().optimizedPlan().toString().count("^[A-Za-z]{1,5}$") <= 2
+
+
+def test_only_open_lines_are_read_for_a_quantity(spark):
+    """A locked line has nothing to read, and a row form that gave a quantity leaves nothing to its position."""
+    sql = "SELECT 1 AS doc, i AS line_no, map_from_arrays(array('code'), array(named_struct('value', '300001', 'source', 's', 'score', 0.5D))) AS cells, '300001 7 NAME COMP' AS raw_line, i = 1 AS locked FROM range(2) AS t(i)"
+    out = legacy.counted_from_row(spark.sql(sql))
+    got = out.selectExpr("line_no", "cells['quantite'].value AS q", "locked").orderBy("line_no").collect()
+    assert [tuple(r) for r in got] == [(0, "7", True), (1, None, True)]
+    assert "CASE WHEN NOT locked" in out._jdf.queryExecution().optimizedPlan().toString()
