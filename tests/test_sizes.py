@@ -156,3 +156,12 @@ def test_only_open_lines_are_read_for_a_quantity(spark):
     got = out.selectExpr("line_no", "cells['quantite'].value AS q", "locked").orderBy("line_no").collect()
     assert [tuple(r) for r in got] == [(0, "7", True), (1, None, True)]
     assert "CASE WHEN NOT locked" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_written_small_and_no_more_of_them_is_moved_than_asked_for(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(B, "json_files", lambda s, path, of=B.json_files: paths.append(path) or of(s, path))
+    fields, suite = quality.a13(spark, SF), quality.r15_files(spark, SF)
+    assert all(p.endswith(".gz") for path in paths for p in spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    plans = [q._jdf.queryExecution().optimizedPlan().toString() for q in (fields, suite)]
+    assert "line_items" not in plans[0] and not any("CASE WHEN NOT match" in p for p in plans)
