@@ -11,7 +11,7 @@ from ledgerweave.functions import fuzzy
 from ledgerweave.operators import benchmark as B
 from ledgerweave.operators import gate, headers, legacy, shapes, tables
 from ledgerweave.operators import lines as L
-from ledgerweave.plans import quality
+from ledgerweave.plans import merging, quality
 from test_queries import SF, TABLES, plain
 
 
@@ -165,3 +165,17 @@ def test_files_are_written_small_and_no_more_of_them_is_moved_than_asked_for(spa
     assert all(p.endswith(".gz") for path in paths for p in spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
     plans = [q._jdf.queryExecution().optimizedPlan().toString() for q in (fields, suite)]
     assert "line_items" not in plans[0] and not any("CASE WHEN NOT match" in p for p in plans)
+
+
+def test_merged_gated_and_filled_lines_move_no_text_twice(spark, monkeypatch):
+    """Merge keys are made where the lines of a document are together, the gate does not join the lines with themselves,
+    and what vision saw is not joined with the parts again."""
+    j8, t25 = merging.j8(spark, SF), merging.t25_lines(spark, SF)
+    plan = j8._jdf.queryExecution().optimizedPlan().toString()
+    listed = [p.split(", 0, 0)")[0] for p in plan.split("collect_list(")[1:]]
+    assert listed and not any("%.4f" in p for p in listed)
+    assert t25._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2
+    seen = []
+    monkeypatch.setattr(merging.M, "filled_gaps", lambda lines, vision, doc: seen.append(vision))
+    merging._gaps(spark, SF)
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation [p_partkey") == 1
